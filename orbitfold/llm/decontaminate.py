@@ -149,6 +149,37 @@ def _probe(index):
     return run
 
 
+def indexes(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, window: int, shingle: int, index_windows: int) -> Iterator:
+    """Broadcast indexes of at most ``index_windows`` windows each; shingles are ordered by their counts in ``rows``."""
+    sc = rows.sparkSession.sparkContext
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("string").alias("text")).mapInArrow(lambda x: windows(x, window, shingle), "item string, width int, hashes array<long>, text binary")
+    for held in _parts(items, index_windows):
+        keys: dict[int, set[int]] = {}
+        for w in {r["width"] for r in held}:
+            keys[w] = {int(x) for sh in _prefix_hash([r["hashes"] for r in held if r["width"] == w], w) for x in sh}
+        counted = rows.select("text").mapInArrow(_count(sc.broadcast(keys)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        rarity = {r["shingle"] & (2**64 - 1): r["n"] for r in counted.collect()}  # at most the shingles of this part of the benchmark
+        yield sc.broadcast(Index([r["item"] for r in held], np.array([r["width"] for r in held]), [r["hashes"] for r in held], [bytes(r["text"]) for r in held], rarity))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, index_windows: int = INDEX_WINDOWS) -> DataFrame:
+    """The documents without any window of the benchmark, all columns as they were; nothing is shuffled."""
+    ship(docs.sparkSession)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows, out = docs.select(F.col(text_col).alias("text")), docs
+    for index in indexes(rows, benchmark, item_id, item_text, window, shingle, index_windows):
+
+        def run(batches, index=index):
+            for b in slices(batches, text_col):
+                found = index.value.find(*utf8_view(b.column(b.schema.get_field_index(text_col))))[0]
+                keep = np.ones(b.num_rows, bool)
+                keep[[k for k, _, _ in found]] = False
+                yield b.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, schema)
+    return out
+
+
 def _finish(batches):
     for b in batches:
         n_hit, n_items, sha = [], [], []
@@ -174,22 +205,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     ship(spark)
-    sc = spark.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("string").alias("text")).mapInArrow(lambda x: windows(x, window, shingle), "item string, width int, hashes array<long>, text binary")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     passes = []
-    for held in _parts(items, index_windows):
-        keys: dict[int, set[int]] = {}
-        for w in {r["width"] for r in held}:
-            keys[w] = {int(x) for sh in _prefix_hash([r["hashes"] for r in held if r["width"] == w], w) for x in sh}
-        counted = rows.select("text").mapInArrow(_count(sc.broadcast(keys)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        rarity = {r["shingle"] & (2**64 - 1): r["n"] for r in counted.collect()}  # at most the shingles of one part of the benchmark
-        index = Index([r["item"] for r in held], np.array([r["width"] for r in held]), [r["hashes"] for r in held], [bytes(r["text"]) for r in held], rarity)
-        passes.append(rows.mapInArrow(_probe(sc.broadcast(index)), f"id {kind}, n_words long, spans array<array<int>>, items array<string>"))
+    for index in indexes(rows, benchmark, item_id, item_text, window, shingle, index_windows):
+        passes.append(rows.mapInArrow(_probe(index), f"id {kind}, n_words long, spans array<array<int>>, items array<string>"))
     if not passes:
         empty = Index([], np.zeros(0, np.int64), [], [], {})
-        passes.append(rows.mapInArrow(_probe(sc.broadcast(empty)), f"id {kind}, n_words long, spans array<array<int>>, items array<string>"))
+        passes.append(rows.mapInArrow(_probe(spark.sparkContext.broadcast(empty)), f"id {kind}, n_words long, spans array<array<int>>, items array<string>"))
     out = passes[0]
     if len(passes) > 1:
         every = passes[0]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import free_name, materialize
 
 #: The characters of [\x20\x09-\x0D].
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -82,9 +82,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Identical rows (same id, same text) stay once.
     """
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    tagged = docs.withColumn("__sha", sha).withColumn("__n", F.char_length(F.coalesce(F.col(text_col), F.lit(""))))
-    both = tagged.alias("d").join(kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k.__kept")) & (F.col("d.__sha") == F.col("k.__sha")), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col, "__sha").orderBy(F.desc("__n"))) == 1
-    return both.withColumn("__first", first).where("__first").select(*docs.columns)
+    kid, sha, size, first = free_name(docs, "kept_id", "sha", "size", "first")
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(kid), F.col("text_sha256").alias(sha))
+    rows = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256)).withColumn(size, F.char_length(F.coalesce(F.col(text_col), F.lit(""))))
+    both = rows.join(kept, rows[id_col].eqNullSafe(kept[kid]) & (rows[sha] == kept[sha]), "left_semi")
+    rank = F.row_number().over(Window.partitionBy(id_col, sha).orderBy(F.desc(size)))
+    return both.withColumn(first, rank).where(F.col(first) == 1).select(*docs.columns)

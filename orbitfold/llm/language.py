@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ship, slices, utf8_view
+from .common import free_name, ship, slices, utf8_view
 
 #: n-gram lengths, bins, landmarks, training texts for each language (a bounded sample), ridge.
 GRAMS, BINS, LANDMARKS, PER_LANG, RIDGE = (1, 2, 3, 4), 8192, 192, 400, 1e-2
 UNKNOWN = "und"
+#: A text that scores less in every language is rejected by the pipeline: no better than a guess among three.
+LEAST_SCORE = 0.35
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -129,11 +131,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` first, then held_out, lang_pred, score; names that clash with these are replaced."""
+    """All columns of ``docs``, then held_out, lang_pred, score (with leading underscores where ``docs`` has such names)."""
     spark = docs.sparkSession
     ship(spark)
+    out, pred, sure = free_name(docs, "held_out", "lang_pred", "score")
     sent = spark.sparkContext.broadcast(model)  # at most LANDMARKS rows of BINS floats, and the weights
-    rows = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", held_out(F.col(id_col)))
+    rows = docs.withColumn(out, held_out(F.col(id_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -147,10 +150,17 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 lang = np.array(m.langs, object)[best]
             lang[~some], score[~some] = UNKNOWN, 0.0
             lang = np.where(np.equal(lang, None), UNKNOWN, lang)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], [*b.schema.names, pred, sure])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, schema + ", lang_pred string, score double")
+    return rows.mapInArrow(run, schema + f", `{pred}` string, `{sure}` double")
+
+
+def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """The documents with a language, all columns as they were: not ``und``, and a score of ``least`` or more."""
+    some = predict(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
+    _, pred, sure = free_name(docs, "held_out", "lang_pred", "score")
+    return some.where((F.col(pred) != UNKNOWN) & (F.col(sure) >= least)).select(*docs.columns)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
