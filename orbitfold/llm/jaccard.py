@@ -140,12 +140,12 @@ def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         label = new
 
 
-def chunked(df: DataFrame, key: str, size: str, node: str, chunk: int = CHUNK) -> DataFrame:
+def chunked(df: DataFrame, key: str, size: str, node: str) -> DataFrame:
     """A row for each pair of chunks (ci <= cj) that a member of a large group takes part in; one row (0, 0) in a small one.
 
     ``size`` is the number of members of the group that ``key`` names.
     """
-    n = F.ceil(F.col(size) / F.lit(chunk)).cast("int")
+    n = F.ceil(F.col(size) / F.lit(CHUNK)).cast("int")
     mine = F.pmod(F.xxhash64(node), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(F.col("_mine"), j).alias("ci"), F.greatest(F.col("_mine"), j).alias("cj")))
     return df.withColumn("_mine", mine).withColumn("_p", F.explode(pairs)).select(*df.columns, "_mine", F.col("_p.ci").alias("ci"), F.col("_p.cj").alias("cj"))
