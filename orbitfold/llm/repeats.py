@@ -364,8 +364,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_blocks(block), "block long, ids binary, nulls binary, off binary, data binary"), "repeat-blocks")
     sent = blocks.mapInArrow(_send(buckets, length, k), "bucket int, block long, held binary")
     answers = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(hot), "block long, held binary")
-    asked = blocks.join(answers.groupBy("block").agg(F.collect_list("held").alias("held")), "block")
-    contexts = asked.select("block", "ids", "off", "data", "held").mapInArrow(_contexts(buckets, length, k), "bucket int, block long, contexts binary, spans binary")
+    # both joins of the blocks are left joins of all their columns, so Spark shuffles the blocks once and uses that twice
+    asked = blocks.join(answers.groupBy("block").agg(F.collect_list("held").alias("held")), "block", "left")
+    contexts = asked.select("block", "ids", "nulls", "off", "data", "held").mapInArrow(_contexts(buckets, length, k), "bucket int, block long, contexts binary, spans binary")
     spans = contexts.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_match(length), "block long, spans binary")
     done = blocks.join(spans.groupBy("block").agg(F.collect_list("spans").alias("spans")), "block", "left")
     out = done.select("block", "ids", "nulls", "off", "data", "spans").mapInArrow(_remove(keep_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
