@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,14 @@ HOT = 2000
 LAST = 2**63 - 1  # the id that null stands for
 
 
+def pack(b: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b)
+
+
+def unpack(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
 def minimizers(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = K):
     """(position, hash, first window, last window) of each minimizer; windows never cross texts."""
     n = len(data)
@@ -268,7 +277,7 @@ def _contexts(buckets: int, length: int, k: int):
                 rows = [(int(block % buckets), block, b"", spans.tobytes())] if len(spans) else []
                 for bucket, p in _deal(head["key"][stay], buckets):
                     p = stay[p]
-                    rows.append((bucket, block, head[p].tobytes() + gather(c.data, c.begin[p], c.size[p]).tobytes() + np.int64(len(p)).tobytes(), b""))
+                    rows.append((bucket, block, pack(head[p].tobytes() + gather(c.data, c.begin[p], c.size[p]).tobytes() + np.int64(len(p)).tobytes()), b""))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["bucket", "block", "contexts", "spans"])
 
     return run
@@ -278,7 +287,7 @@ def _match(length: int, most: int = 24 << 20):
     def run(batches):
         for rows in _by_bucket(batches):
             out = [(block, spans) for block, _, spans in rows if spans]
-            rows = [(block, x) for block, x, _ in rows if x]
+            rows = [(block, unpack(x)) for block, x, _ in rows if x]
             if rows:
                 count = [int(np.frombuffer(x, "<i8", 1, len(x) - 8)[0]) for _, x in rows]
                 size = Contexts.HEAD.itemsize
