@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised numpy step works on; bounds the memory of a Python worker.
 BLOCK_BYTES = 2 << 20
@@ -53,6 +54,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def likely(left: DataFrame, key: str, keys: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows of ``left`` whose ``key`` may be in the column of that name of ``keys``; a few others stay too.
+
+    A bitmap of 2**bits places, at most 2**(bits - 6) rows of two numbers (16 MB at the default), is broadcast, so its
+    size is bounded whatever the data. It thins out what an exact join then shuffles; if it is full, it drops nothing.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    bit = F.expr("shiftleft(1L, cast(__place % 64 as int))")
+    maps = keys.select(place.alias("__place")).select((F.col("__place") / 64).cast("long").alias("__w"), bit.alias("__b")).groupBy("__w").agg(F.bit_or("__b").alias("__m"))
+    mine = left.withColumn("__place", place).withColumn("__word", (F.col("__place") / 64).cast("long")).withColumn("__bit", bit)
+    return mine.join(F.broadcast(maps), (F.col("__word") == F.col("__w")) & (F.col("__m").bitwiseAND(F.col("__bit")) != 0), "left_semi").select(*left.columns)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that start elsewhere than in the repository."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, first_in_row, free_name, materialize, mix, ship, slices, utf8_view, words
+from .common import U64, first_in_row, free_name, likely, materialize, mix, ship, slices, utf8_view, words
 from .components import components
 from .decontaminate import shingles
 
@@ -278,7 +278,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     bands = nodes.select("node", "sig").mapInArrow(_bands, "band long, node binary")
     several = materialize(bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "jaccard-buckets")
-    met = materialize(bands.join(several, "band"), "jaccard-met")
+    met = materialize(likely(bands, "band", several).join(several, "band"), "jaccard-met")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = chunked(met.join(nodes.select("node", F.col("low").alias("sig")), "node"), "band", "c", "node")
     dealt = pairs.repartition(partitions, "band", "ci", "cj").sortWithinPartitions("band", "ci", "cj")
@@ -312,4 +312,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def first_texts(rows: DataFrame, sized: DataFrame) -> DataFrame:
     """(grp, node, size, c, text): texts of the rows that have the least id of a node in ``sized``."""
     want = sized.select(F.col("root").alias("grp"), "node", "id", "size", "c")
-    return rows.join(want, "id").select("grp", "node", "size", "c", "text")
+    return likely(rows, "id", want).join(want, "id").select("grp", "node", "size", "c", "text")
