@@ -28,7 +28,9 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NEEDED = (b"warc-type", b"warc-record-id", b"warc-date", b"content-length")
 #: Bytes of records in one archive, and of a trained dictionary.
-ARCHIVE_BYTES, DICT_BYTES, LEVEL = 4 << 20, 16 << 10, 6
+ARCHIVE_BYTES, DICT_BYTES, LEVEL = 8 << 20, 16 << 10, 3
+#: Records of an archive, evenly spread, that its dictionary is trained on.
+TRAIN_RECORDS = 200
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -50,9 +52,9 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
 
 
 def archive(records: list[bytes]) -> bytes:
-    """An archive: the dictionary in a skippable frame (trained on these records, else their beginnings), one frame each."""
+    """An archive: the dictionary in a skippable frame (trained on some of these records, else their beginnings), one frame each."""
     try:
-        d = zstandard.train_dictionary(DICT_BYTES, [r[:16384] for r in records])
+        d = zstandard.train_dictionary(DICT_BYTES, [r[:16384] for r in records[:: -(-len(records) // TRAIN_RECORDS)]])
     except zstandard.ZstdError:  # too few or too short records to train on
         d = zstandard.ZstdCompressionDict(b"".join(r[:1024] for r in records)[:DICT_BYTES].ljust(8, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     raw = d.as_bytes()
