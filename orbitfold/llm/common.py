@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised numpy step works on; bounds the memory of a Python worker.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
