@@ -56,3 +56,21 @@ def segments(burns: DataFrame, key: str, low: int, high: int) -> DataFrame:
     b = b.withColumn("_begin", F.greatest(F.col("start"), before)).withColumn("_before", before).withColumn("_last", last).withColumn("_end", F.greatest("stop", "_before"))
     parts = F.array(F.struct(F.col("_before").alias("start"), F.col("_begin").alias("stop"), F.lit(False).alias("burn")), F.struct(F.col("_begin").alias("start"), F.col("_end").alias("stop"), F.lit(True).alias("burn")), F.struct(F.col("_end").alias("start"), F.when(F.col("_last"), F.lit(high)).otherwise(F.col("_end")).alias("stop"), F.lit(False).alias("burn")))
     return b.select(key, F.inline(parts)).where("stop > start")
+
+
+def bielliptic(plans: DataFrame) -> DataFrame:
+    """Three burns for each plan (r1, rb, r2, isp, mass, thrust) by way of apoapsis rb: seq, signed dv_km_s, propellant_kg, duration_s."""
+    speed = lambda r, other: f"sqrt({f.MU} * (2e0 / {r} - 2e0 / ({r} + {other})))"
+    p = plans.withColumns({"_d1": F.expr(f"{speed('r1', 'rb')} - {speed('r1', 'r1')}"), "_d2": F.expr(f"{speed('rb', 'r2')} - {speed('rb', 'r1')}"), "_d3": F.expr(f"{speed('r2', 'r2')} - {speed('r2', 'rb')}")})
+    left = "mass"
+    for n in (1, 2, 3):
+        p = p.withColumn(f"_p{n}", F.expr(f.tsiolkovsky_kg(f"({left})", f"abs(_d{n})", "isp")))
+        left += f" - _p{n}"
+    rows = F.array(*(F.struct(F.lit(n).alias("seq"), F.col(f"_d{n}").alias("dv_km_s"), F.col(f"_p{n}").alias("propellant_kg"), F.expr(f"_p{n} * isp * {f.G0} / thrust").alias("duration_s")) for n in (1, 2, 3)))
+    return p.select(*plans.columns, F.inline(rows))
+
+
+def validate(burns: DataFrame) -> DataFrame:
+    """``burns`` (duration_s, thrust, isp, direction dx, dy, dz, mass) with ``reason``: the first check that fails, or null."""
+    reason = f"CASE WHEN NOT duration_s > 0e0 THEN 'DURATION' WHEN NOT thrust > 0e0 THEN 'THRUST' WHEN NOT isp > 0e0 THEN 'ISP' WHEN abs(sqrt(dx * dx + dy * dy + dz * dz) - 1e0) > 1e-6 THEN 'DIRECTION' WHEN thrust / (isp * {f.G0}) * duration_s > mass THEN 'MASS' END"
+    return burns.withColumn("reason", F.expr(reason))

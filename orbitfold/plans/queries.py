@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formulas as f
+from ..functions import geometry as geo
 from ..operators import burns as burn_ops
 from ..operators import catalog as cat
-from ..operators import lookups, spatial
-from ..sources import omm, tle
+from ..operators import lookups, passes, spatial
+from ..sources import cdm, omm, tle
+from ..streaming import sessions
 from . import synthetic as syn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -274,3 +276,82 @@ def _w5(spark, sf):
  s AS (SELECT sat, before AS start, greatest(start, before) AS stop, false AS burn FROM m UNION ALL SELECT sat, greatest(start, before), greatest(stop, before), true FROM m UNION ALL SELECT sat, greatest(stop, before), 72000, false FROM m WHERE last) SELECT * FROM s WHERE stop > start""")
 def _w6(spark, sf):
     return burn_ops.segments(syn.burns(spark, sf), "sat", 3600, 72000)
+
+
+def staged(name: str, stages: list[dict[str, str]], out: dict[str, str], digits: int = 6) -> None:
+    """A projection of the catalog in stages of formula text that both engines compute."""
+    items = ["norad_id", *(f"round({e}, {digits}) AS {c}" for c, e in out.items())]
+    QUERIES[name] = lambda spark, sf: geo.extend(syn.catalog(spark, sf), stages).selectExpr(*items)
+    ORACLE_SQL[name] = f"{_CAT} SELECT {', '.join(items)} FROM ({geo.as_sql('c', stages)})"
+
+
+# ---------------------------------------------------------------- frames, elements, forces, probability
+
+_PX, _PY, _PZ = f.circular_position("1.05e0 * sqrt(398600.4418e0 / a_km)", "inclination", "raan", "(radians(mean_anomaly) + 0.5e0 * pi() - 0.02e0)")
+_STATE = [{"x": _X, "y": _Y, "z": _Z, "vx": _PX, "vy": _PY, "vz": _PZ}]
+_same = lambda *names: {c: c for c in names}
+staged("t11_rtn_axes", [*_STATE, *geo.RTN], _same(*(f"{p}_{a}" for p in "rtn" for a in "xyz")))
+staged("t11_vnb_axes", [*_STATE, *geo.VNB], _same(*(f"{p}_{a}" for p in "vnb" for a in "xyz")))
+staged("t12_thrust_to_inertial", [*_STATE, *geo.VNB, *geo.to_inertial(("v_", "n_", "b_"), ("0.6e0", "0e0", "0.8e0"))], _same("i_x", "i_y", "i_z"))
+staged("d2_orbital_elements", [*_STATE, *geo.elements()], {"a": "el_a", "e": "el_e", "i": "el_i", "argp_sin": "sin(radians(el_argp))", "raan_cos": "cos(radians(el_raan))", "nu_cos": "cos(radians(el_nu))"}, 5)
+_SR, _ST, _SN = f.heuristic_sigma("(2460321.6e0 - epoch_jd)", "160e0")
+_SIGMA = [{"sig_r": _SR, "sig_t": _ST, "sig_n": _SN}]
+_LOCAL = [["sig_r * sig_r", "", ""], ["", "sig_t * sig_t", ""], ["", "", "sig_n * sig_n"]]
+staged("m6_rotate_covariance", [*_STATE, *geo.RTN, *_SIGMA, *geo.rotate_covariance(("r_", "t_", "n_"), _LOCAL)], _same("cxx", "cxy", "cxz", "cyy", "cyz", "czz"))
+_MEET = [{"mx": "0.02e0 * (ordinal % 40)", "my": "0.3e0 * sin(ordinal)", "mz": "0.1e0 * cos(ordinal)", "ux": "vx", "uy": "vy - 7e0", "uz": "vz + 2e0", "cxx": "0.2e0 + 0.01e0 * (ordinal % 7)", "cxy": "0.03e0", "cxz": "-0.02e0", "cyy": "0.3e0 + 0.02e0 * (ordinal % 5)", "cyz": "0.01e0", "czz": "0.25e0"}]
+QUERIES["m1_collision_probability"] = lambda spark, sf: geo.extend(syn.catalog(spark, sf), [*_STATE, *_MEET, *geo.collision_probability("0.01e0")]).selectExpr("norad_id", "round(m2, 6) AS m2", "round(log10(pc), 6) AS log_pc")
+ORACLE_SQL["m1_collision_probability"] = f"{_CAT} SELECT norad_id, round(m2, 6) AS m2, round(log10(pc), 6) AS log_pc FROM ({geo.as_sql('c', [*_STATE, *_MEET, *geo.collision_probability('0.01e0', lambda term: f'list_sum(list_transform(range(32), lambda k: {term}))')])})"
+computed("n12_moon_position", "norad_id", dict(zip("xyz", geo.moon_position("epoch_jd"), strict=True)), 2)
+_SUN = dict(zip(("sx", "sy", "sz"), f.sun_position("epoch_jd"), strict=True))
+staged("n11_illumination", [*_STATE, _SUN, *geo.illumination()], _same("nu"))
+staged("n4_zonal_acceleration", [*_STATE, *geo.gravity()], {c: f"a{c} * 1e6" for c in "xyz"})
+computed("n13_scale_height", "norad_id", {"height_km": geo.scale_height_km("(70e0 + ordinal % 180)", "(80e0 + ordinal % 160)", "(ordinal % 50)")}, 4)
+computed("n7_process_noise", "norad_id", geo.process_noise("1e-3", "(1e0 + ordinal % 600)"))
+computed("d6_projected_area", "norad_id", {"area_m2": geo.projected_area_m2("3e0", "(1e0 + ordinal % 4)", "2e0", [("1e0", "0e0", "0e0"), ("0e0", "1e0", "0e0"), ("0e0", "0e0", "1e0")], ("cos(radians(raan))", "sin(radians(raan)) * 0.6e0", "sin(radians(raan)) * 0.8e0"))})
+staged("t10_vincenty_distance", [{"lat1": "(inclination - 90e0) * 0.9e0", "lon1": "raan - 180e0", "lat2": "(argp - 180e0) * 0.4e0", "lon2": "mean_anomaly * 0.3e0 - 50e0"}, *geo.vincenty("lat1", "lon1", "lat2", "lon2")], _same("dist_km"), 3)
+_TX, _TY = f.teme_to_ecef("x", "y", "epoch_jd")
+_TRACK = [*_STATE, {"ex": _TX, "ey": _TY}, {"lat": f.ecef_to_latitude("ex", "ey", "z"), "lon": "degrees(atan2(ey, ex))"}, {"alt": f.ecef_to_altitude("ex", "ey", "z", "lat")}]
+staged("t9_ground_track", _TRACK, {"lat": "lat", "alt": "alt", "lon_cos": "cos(radians(lon))"}, 3)
+_LOOK = [*_STATE, {"ex": _TX, "ey": _TY, "ez": "z"}, *geo.look_angles("12.97e0", "77.59e0", "0.92e0")]
+staged("v1_elevation", _LOOK, _same("elevation"), 5)
+staged("v2_azimuth", _LOOK, {"azimuth_cos": "cos(radians(azimuth))", "azimuth_sin": "sin(radians(azimuth))"}, 6)
+
+
+@query("w2_passes", f"""WITH s AS (SELECT s_suppkey AS id, CAST(step AS INTEGER) AS step, 2460310.5e0 + step / 288e0 AS t_jd, {', '.join(f'{e} AS {c}' for c, e in syn.TRACK.items())}, (s_nationkey * 7 % 120) - 60e0 AS lat, s_nationkey * 14e0 - 170e0 AS lon, 0.1e0 AS height_km FROM supplier, range({syn.EPHEMERIS_STEPS}) r(step)),
+ l AS ({geo.as_sql('s', [dict(zip(('ex', 'ey', 'ez'), (*f.teme_to_ecef('x', 'y', 't_jd'), 'z'), strict=True)), *geo.look_angles('lat', 'lon', 'height_km')])}), k AS (SELECT *, step - row_number() OVER (PARTITION BY id ORDER BY step) AS run FROM l WHERE elevation >= 5)
+ SELECT id, min(step) AS first, max(step) AS last, count(*) AS n, arg_max(step, elevation) AS best, round(max(elevation), 4) AS max_elevation FROM k GROUP BY id, run""")
+def _w2(spark, sf):
+    where = syn.table(spark, sf, "supplier").selectExpr("s_suppkey AS id", "(s_nationkey * 7 % 120) - 60e0 AS lat", "s_nationkey * 14e0 - 170e0 AS lon", "0.1e0 AS height_km")
+    e = syn.ephemeris(spark, sf).withColumn("t_jd", F.expr("2460310.5e0 + step / 288e0")).join(where, "id")
+    return passes.passes(passes.look(e), "id", "step", 5.0).select("id", "first", "last", "n", "best", F.round("max_elevation", 4).alias("max_elevation"))
+
+
+@query("b2_bielliptic", f"""WITH p AS ({_PLAN}), q AS (SELECT *, 2 * r2 AS rb FROM p), v AS (SELECT *, sqrt(398600.4418 * (2 / r1 - 2 / (r1 + rb))) - sqrt(398600.4418 / r1) AS d1, sqrt(398600.4418 * (2 / rb - 2 / (r2 + rb))) - sqrt(398600.4418 * (2 / rb - 2 / (r1 + rb))) AS d2, sqrt(398600.4418 / r2) - sqrt(398600.4418 * (2 / r2 - 2 / (r2 + rb))) AS d3 FROM q),
+ u AS (SELECT id, mass, isp, unnest([1, 2, 3]) AS seq, unnest([d1, d2, d3]) AS dv, unnest([0, abs(d1), abs(d1) + abs(d2)]) AS spent FROM v)
+ SELECT id, seq, round(dv, 8) AS dv_km_s, round(mass * exp(-spent * 1000 / (isp * 9.80665)) * (1 - exp(-abs(dv) * 1000 / (isp * 9.80665))), 6) AS propellant_kg FROM u""")
+def _b2(spark, sf):
+    b = burn_ops.bielliptic(_plans(spark, sf).withColumn("rb", F.expr("2e0 * r2")))
+    return b.select("id", "seq", F.round("dv_km_s", 8).alias("dv_km_s"), F.round("propellant_kg", 6).alias("propellant_kg"))
+
+
+@query("b4_validate_burn", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'DURATION' WHEN o_orderkey % 13 = 0 THEN 'THRUST' WHEN o_orderkey % 17 = 0 THEN 'ISP' WHEN o_orderkey % 19 = 0 THEN 'DIRECTION' WHEN 400 / (300 * 9.80665) * (60 + o_orderkey % 3000) > 200 THEN 'MASS' END AS reason FROM orders")
+def _b4(spark, sf):
+    o = syn.table(spark, sf, "orders").selectExpr("o_orderkey AS id", "CASE WHEN o_orderkey % 11 = 0 THEN 0e0 ELSE 60e0 + o_orderkey % 3000 END AS duration_s", "CASE WHEN o_orderkey % 13 = 0 THEN -1e0 ELSE 400e0 END AS thrust", "CASE WHEN o_orderkey % 17 = 0 THEN 0e0 ELSE 300e0 END AS isp", "CASE WHEN o_orderkey % 19 = 0 THEN 0.5e0 ELSE 0.6e0 END AS dx", "0e0 AS dy", "0.8e0 AS dz", "200e0 AS mass")
+    return burn_ops.validate(o).select("id", "reason")
+
+
+@query("s11_cdm_round_trip", _CAT + "SELECT 'M' || norad_id AS message_id, CASE WHEN ordinal % 9 = 0 THEN 'BOUNDS_VIOLATION' END AS reason, round(CASE WHEN ordinal % 9 = 0 THEN -1 ELSE ordinal % 5000 / 8 END, 4) AS miss_m, CASE WHEN ordinal % 4 > 0 THEN (ordinal % 1000) / 1024e0 END AS pc, round(a_km, 6) AS x_1, round(-a_km, 6) AS x_2, CASE WHEN ordinal % 2 = 0 THEN 2e0 * (ordinal % 64) END AS cov_1, 5e0 AS cov_2 FROM c")
+def _s11(spark, sf):
+    thing = lambda label, sign, cov: F.expr(f"struct('{label}' AS designator, 'SAT {label}' AS name, array({sign} * a_km, 0e0, 0e0, 0e0, 7.5e0, 0e0) AS state, {cov} AS covariance)")
+    c = syn.catalog(spark, sf).select(
+        F.concat(F.lit("M"), "norad_id").alias("message_id"), F.lit("2024-01-01T00:00:00.000Z").alias("creation"), F.lit("2024-01-02T00:00:00.000Z").alias("tca"), F.expr("CASE WHEN ordinal % 9 = 0 THEN -1e0 ELSE (ordinal % 5000) / 8e0 END").alias("miss_m"), F.lit(14500.0).alias("speed_m_s"), F.expr("CASE WHEN ordinal % 4 > 0 THEN (ordinal % 1000) / 1024e0 END").alias("pc"),
+        thing("A", 1, "CASE WHEN ordinal % 2 = 0 THEN transform(sequence(0, 20), i -> 2e0 * (ordinal % 64)) END").alias("object_1"), thing("B", -1, "transform(sequence(0, 20), i -> 5e0)").alias("object_2"),
+    )
+    out = cdm.parse_kvn(cdm.export_kvn(c, "ORBITFOLD").select("kvn"))
+    return out.selectExpr("message_id", "reason", "round(miss_m, 4) AS miss_m", "round(pc * 1024e0) / 1024e0 AS pc", "object_1.state[0] AS x_1", "object_2.state[0] AS x_2", "object_1.covariance[2] AS cov_1", "object_2.covariance[20] AS cov_2")
+
+
+@query("x1_event_sessions", "WITH o AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 1 HOUR, true) AS fresh FROM events), g AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM o) SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 3600000000 AS stop, count(*) AS n FROM g GROUP BY user_id, run")
+def _x1(spark, sf):
+    e = syn.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return sessions.sessions(e, "user_id", "ts", "1 hour").select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("stop").alias("stop"), "n")
