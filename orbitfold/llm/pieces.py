@@ -30,7 +30,7 @@ _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Distinct words that a worker remembers before it starts anew; bounds its memory.
 MOST_WORDS = 400_000
 #: Bytes of text encoded at once: distinct words repeat more in larger blocks.
-ENCODE_BYTES = 6 << 20
+ENCODE_BYTES = 2 << 20
 #: Symbols from which a word with several risky merges goes to the queue, whose cost grows with its length alone.
 LONG = 64
 
