@@ -3,8 +3,8 @@
 Markup is stripped to one line per block element; lines inside menus, headers, footers, sidebars, notices, adverts,
 forms and comments count as empty, and so do those outside an ``article`` (or ``main``) element if there is one. Text
 lengths are summed over a sliding window of lines; a surge is where the sum rises from nothing, a dive where it falls
-back to nothing; the text between them is kept, whole. Of several spans an article element keeps all; a page without
-one keeps the longest and those that are not much shorter.
+back to nothing; the text between them is kept, whole, however short. A nested article belongs to the article or main
+around it. Of several articles, or of several spans of a page without one, those go that are mostly links.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from .common import ship
 
 #: Lines in a window, fixed by the method; a gap of as many empty lines ends a block of text.
 WINDOW = 3
-#: Without an article element: the share of the longest span's text that another span needs to be kept too.
-SHARE = 0.25
+#: An article or span with more than this share of its text in links is a list of links beside the main text.
+LINKS = 0.5
 
 #: Elements whose content is no text.
 SILENT = frozenset("script style noscript template svg math canvas iframe object embed video audio map select textarea head title".split())
@@ -62,32 +62,40 @@ def _is_aside(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, int]]:
-    """(text, whether it may be main text, number of the article element around it or 0) of each block, in page order."""
-    out: list[tuple[str, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, inside something that is not main, article
+def lines(page: str) -> list[tuple[str, bool, int, int]]:
+    """(text, whether it may be main text, number of the outermost article element around it or 0, characters in links) of each block, in page order."""
+    out: list[tuple[str, bool, int, int]] = []
+    stack: list[tuple[str, bool, int, bool]] = []  # open elements: name, inside something that is not main, article, link
     held: list[str] = []
+    linked: list[str] = []
     n_articles, at = 0, 0
 
+    def hold(text: str):
+        held.append(text)
+        if stack and stack[-1][3]:
+            linked.append(text)
+
     def flush():
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
+            links = len(_SPACE.sub(" ", html.unescape("".join(linked))).strip()) if linked else 0
             held.clear()
+            linked.clear()
             if text:
-                _, bad, article = stack[-1] if stack else ("", False, 0)
-                out.append((text, not bad, article))
+                _, bad, article, _ = stack[-1] if stack else ("", False, 0, False)
+                out.append((text, not bad, article, links))
 
     silent = None
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
         if silent is None and m.start() > at:
-            held.append(page[at : m.start()])
+            hold(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA["):
-                held.append(html.escape(m[0][9:-3]))
+                hold(html.escape(m[0][9:-3]))
             continue
         if m[1]:  # closing
             if tag in BLOCK:
@@ -135,37 +143,43 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
                     break
         if m[0].endswith("/>") and tag not in BLOCK:
             continue
-        _, bad, article = stack[-1] if stack else ("", False, 0)
+        _, bad, article, link = stack[-1] if stack else ("", False, 0, False)
         bad = bad or _is_aside(tag, m[3] or "", article > 0)
-        if tag in ("article", "main") and not bad and (not article or tag == "article"):
+        if tag in ("article", "main") and not bad and not article:
             n_articles += 1
             article = n_articles
-        stack.append((tag, bad, article))
+        stack.append((tag, bad, article, link or tag == "a"))
     if at < len(page) and silent is None:
-        held.append(page[at:])
+        hold(page[at:])
     flush()
     return out
 
 
+def _texts(parts: dict) -> set:
+    """The keys of (characters, of these in links) that are not mostly links; all if there is no other."""
+    return {k for k, (n, links) in parts.items() if links <= LINKS * n} or set(parts)
+
+
 def main_text(page: str) -> str:
     """The article's blocks, joined by line feeds; empty if there is no text."""
     found = lines(page)
-    inside: dict[int, int] = {}
-    for text, ok, article in found:
+    inside: dict[int, tuple[int, int]] = {}
+    for text, ok, article, links in found:
         if ok and article:
-            inside[article] = inside.get(article, 0) + len(text)
-    whole = {a for a, n in inside.items() if 2 * n >= max(inside.values())}  # not the teasers beside a longer article
-    size = [len(t) if ok and (not inside or article in whole) else 0 for t, ok, article in found]
+            n, k = inside.get(article, (0, 0))
+            inside[article] = n + len(text), k + links
+    whole = _texts(inside)
+    size = [len(t) if ok and (not inside or article in whole) else 0 for t, ok, article, _ in found]
     window = [sum(size[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(size))] + [0]
-    spans, surge = [], None
+    spans, surge = {}, None
     for i, w in enumerate(window):
         if w and surge is None:
             surge = i
         elif not w and surge is not None:
-            spans.append((sum(size[surge:i]), surge, i))
+            spans[surge, i] = sum(size[surge:i]), sum(found[k][3] for k in range(surge, i) if size[k])
             surge = None
-    least = 0 if inside else SHARE * max(spans, default=(0,))[0]
-    return "\n".join(found[i][0] for n, start, dive in spans if n >= least for i in range(start, dive) if size[i])
+    kept = spans if inside else _texts(spans)
+    return "\n".join(found[i][0] for start, dive in spans if (start, dive) in kept for i in range(start, dive) if size[i])
 
 
 def extract(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:

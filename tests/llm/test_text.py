@@ -151,6 +151,20 @@ def test_main_text(spark):
     assert got[8]["n_chars"] == 99_999
 
 
+def test_main_text_keeps_short_parts():
+    long = "<p>" + "word " * 100 + "</p>"
+    text = ("word " * 100).strip()
+    links = "<ul>" + "<li><a href=x>Other page</a>" * 4 + "</ul>"
+    t = main_text.main_text
+    assert t(f"<main><h1>Title</h1><p>lead</p><article>{long}</article></main>") == f"Title\nlead\n{text}"
+    assert t(f"<article>{long}</article><article><p>Part two</article>") == f"{text}\nPart two"
+    share = "<ul class=share>" + "<li>x" * 4 + "</ul>"
+    assert t(f"<div><h1>Title</h1>{share}{long}{share}<p>The end</div>") == f"Title\n{text}\nThe end"
+    assert t(f"<article>{long}</article><article>{links}</article>") == text
+    assert t(f"<div>{long}{share}{links}</div>") == text
+    assert t(links).count("Other page") == 4
+
+
 def test_queries_and_pipeline(spark):
     """Every query runs on the smallest tables; the pipeline equals its stages by brute force."""
     import corpus_pipeline as cp
