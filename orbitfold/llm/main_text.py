@@ -4,7 +4,8 @@ Markup is stripped to one line per block element; lines inside menus, headers, f
 forms and comments count as empty, and so do those outside an ``article`` (or ``main``) element if there is one. Text
 lengths are summed over a sliding window of lines; a surge is where the sum rises from nothing, a dive where it falls
 back to nothing; the text between them is kept, whole, however short. A nested article belongs to the article or main
-around it. Of several articles, or of several spans of a page without one, those go that are mostly links.
+around it. Of several articles, or of several spans of a page without one, those go that are mostly links. Words of
+class and id alone do not exclude an article around which they stand, nor all text of a page.
 """
 
 from __future__ import annotations
@@ -32,6 +33,16 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role that tell what is not the article.
 NOT_MAIN = frozenset("ad ads adv advert adverts advertisement advertisements advertising adbox banner banners sponsor sponsored sponsors promo promos promotion nav navbar navigation navigate menu menus breadcrumb breadcrumbs header masthead footer sidebar sidebars aside rail cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist discussion disqus replies reply respond widget widgets pagination pager skip contentinfo complementary search toolbar copyright".split())
+#: Those of them that name what can hold articles of its own beside the main text.
+BESIDE = frozenset("ad ads adv advert adverts advertisement advertisements advertising adbox sponsor sponsored sponsors promo promos promotion footer sidebar sidebars aside rail related recommended recommendations comment comments commentlist discussion disqus replies reply respond widget widgets".split())
+#: Beside one of these a word of layout says how a page is laid out, not what an element holds: with-sidebar, nav-fixed.
+LAYOUT = frozenset("with without no has have hide hidden show fixed sticky open closed collapsed enabled disabled active layout".split())
+#: Inside an article a class counts only if each of its words is one of NOT_MAIN or of these: related-posts, not related-work.
+PLAIN = frozenset("a area article articles author bar bars block body bottom box button buttons card cards container content element entry footer form group holder icon icons inline inner inside item items js left line link links list main media module outer page panel post posts primary right row section secondary single site slot small stories story tools top unit wrap wrapper".split())
+#: Boxes that are part of an article when they stand in it.
+IN_ARTICLE = frozenset("header alert notice notices".split())
+#: How an element takes part: as main text, not unless it is around an article, not by its class, not at all.
+MAIN, AROUND, CLASSED, NEVER = range(4)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -43,29 +54,36 @@ CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dd": frozenset({"dd",
 SCOPE = frozenset("ul ol dl table article main section div nav aside header footer form body".split())
 
 
-def _is_aside(tag: str, attrs: str, in_article: bool) -> bool:
+def _part(tag: str, attrs: str, in_article: bool, classes: bool) -> int:
     if tag in ASIDE or (tag == "header" and not in_article):
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return NEVER
+    if not attrs or tag in ("html", "body", "main"):
+        return MAIN
+    out = MAIN
     for name, a, b, c in _NAMED.findall(attrs):
         value, name = a or b or c, name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and value:
+        if tag != "article":
+            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+                return NEVER
+            if name == "role" and value.lower() in ROLES:
+                return NEVER
+        if classes and name in ("class", "id") and value:
             for part in value.split():
-                split = [w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", part))]
-                if any(w in NOT_MAIN and not (in_article and w == "header") for w in split):
-                    return True
-    return False
+                split = {w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", part))}
+                said = split & NOT_MAIN
+                if not said or split & LAYOUT:
+                    continue
+                if in_article or tag == "article":
+                    if said <= IN_ARTICLE or not split <= NOT_MAIN | PLAIN or (tag == "article" and not said & BESIDE):
+                        continue
+                out = max(out, CLASSED if said & BESIDE else AROUND)
+    return out
 
 
-def lines(page: str) -> list[tuple[str, bool, int, int]]:
+def lines(page: str, classes: bool = True) -> list[tuple[str, bool, int, int]]:
     """(text, whether it may be main text, number of the outermost article element around it or 0, characters in links) of each block, in page order."""
     out: list[tuple[str, bool, int, int]] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # open elements: name, inside something that is not main, article, link
+    stack: list[tuple[str, int, int, bool]] = []  # open elements: name, part of the innermost and those around it, article, link
     held: list[str] = []
     linked: list[str] = []
     n_articles, at = 0, 0
@@ -82,8 +100,8 @@ def lines(page: str) -> list[tuple[str, bool, int, int]]:
             held.clear()
             linked.clear()
             if text:
-                _, bad, article, _ = stack[-1] if stack else ("", False, 0, False)
-                out.append((text, not bad, article, links))
+                _, part, article, _ = stack[-1] if stack else ("", MAIN, 0, False)
+                out.append((text, part == MAIN, article, links))
 
     silent = None
     for m in _TOKEN.finditer(page):
@@ -143,12 +161,14 @@ def lines(page: str) -> list[tuple[str, bool, int, int]]:
                     break
         if m[0].endswith("/>") and tag not in BLOCK:
             continue
-        _, bad, article, link = stack[-1] if stack else ("", False, 0, False)
-        bad = bad or _is_aside(tag, m[3] or "", article > 0)
-        if tag in ("article", "main") and not bad and not article:
-            n_articles += 1
-            article = n_articles
-        stack.append((tag, bad, article, link or tag == "a"))
+        _, part, article, link = stack[-1] if stack else ("", MAIN, 0, False)
+        part = max(part, _part(tag, m[3] or "", article > 0, classes))
+        if tag in ("article", "main"):
+            part = MAIN if part == AROUND else part
+            if part == MAIN and not article:
+                n_articles += 1
+                article = n_articles
+        stack.append((tag, part, article, link or tag == "a"))
     if at < len(page) and silent is None:
         hold(page[at:])
     flush()
@@ -162,7 +182,10 @@ def _texts(parts: dict) -> set:
 
 def main_text(page: str) -> str:
     """The article's blocks, joined by line feeds; empty if there is no text."""
-    found = lines(page)
+    return _blocks(lines(page)) or _blocks(lines(page, classes=False))
+
+
+def _blocks(found: list[tuple[str, bool, int, int]]) -> str:
     inside: dict[int, tuple[int, int]] = {}
     for text, ok, article, links in found:
         if ok and article:

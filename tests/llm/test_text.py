@@ -165,6 +165,19 @@ def test_main_text_keeps_short_parts():
     assert t(links).count("Other page") == 4
 
 
+def test_main_text_inside_named_layouts():
+    t, body = main_text.main_text, "<article><p>Body one<p>Body two</article>"
+    for name in ("class='with-sidebar'", "class='no-sidebar'", "class=nav-fixed", "id='search-results'", "class='sidebar'", "class='comments'", "class=notice"):
+        assert t(f"<div {name}>{body}</div>") == "Body one\nBody two"
+        assert t(f"<div {name}><p>Body</p></div>") == "Body"
+    for name in ("related-work", "alert", "notice"):
+        assert t(f"<article><p>One<section class='{name}'><p>Two</section></article>") == "One\nTwo"
+    beside = "<div id=comments><article class=comment><p>Bob</article></div>"
+    assert t(f"<div class=search>{body}</div>{beside}") == "Body one\nBody two"
+    assert t(f"<main>{body}<article class=comment>Bob</article><div class='related-posts'>x</div></main>") == "Body one\nBody two"
+    assert t("<div class=menu>Home</div><p>Text</p><footer>f</footer>") == "Text" and t("<nav>Home</nav>") == ""
+
+
 def test_queries_and_pipeline(spark):
     """Every query runs on the smallest tables; the pipeline equals its stages by brute force."""
     import corpus_pipeline as cp
