@@ -34,6 +34,9 @@ _FIND = re.compile(
     r"|(?<![\w.+-])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![\w-]|\.[0-9])"
 )
 
+#: Characters of an IBAN of each country.
+_IBAN = dict(re.findall(r"([A-Z]{2})([0-9]{2})", "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"))
+
 
 class Feistel:
     """Keyed permutations of 0 .. n - 1 for any n."""
@@ -85,6 +88,31 @@ def _mod97(s: str) -> int:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
 
 
+def _iban_end(s: str) -> int | None:
+    """Where the IBAN of its country ends if a space follows there."""
+    left = int(_IBAN.get(s[:2], 99))
+    for i, c in enumerate(s):
+        if not left:
+            return i if c == " " else None
+        left -= c != " "
+    return None
+
+
+def _ends(kind: str, s: str) -> list[int]:
+    """Ends of what may be a value in a match, best first: it may have taken in what follows the value."""
+    if kind == "iban" and (end := _iban_end(s)):
+        return [end, len(s)]
+    out = [len(s)]
+    if kind == "card":
+        groups = [(g.end(), len(g[0])) for g in re.finditer("[0-9]+", s)]
+        for k in range(len(groups) - 1, 0, -1):
+            n = [size for _, size in groups[:k]]
+            even = n[0] > 2 and len({*n[:-1]}) <= 1 and n[-1] <= n[0]
+            if 13 <= sum(n) <= 19 and (even or n in ([4, 6, 5], [4, 6, 4], [4, 3, 3, 3])):
+                out.append(groups[k - 1][0])
+    return out
+
+
 def _ssn_ok(d: str) -> bool:
     return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
@@ -106,10 +134,11 @@ class Pseudonyms:
         if kind == "card":
             if luhn(d) or len(set(d)) == 1:
                 return None
+            shifted = luhn(d + "0")  # kept, so that a number with the digits after it stays as invalid as it was
             while True:  # numbers of one digit are not valid cards: walked past
                 body = self._digits(kind, d[:-1])
                 d = body + str(-luhn(body + "0") % 10)
-                if len(set(d)) > 1:
+                if len(set(d)) > 1 and luhn(d + "0") == shifted:
                     return _refill(s, d)
         if kind == "phone":
             if not 8 <= len(d) <= 15:
@@ -150,11 +179,15 @@ class Pseudonyms:
             flat = s.replace(" ", "")
             if not 15 <= len(flat) <= 34 or _mod97(flat) != 1:
                 return None
-            bban = "".join(c for c in flat[4:] if c.isdigit())
-            flat = flat[:4] + _refill(flat[4:], self._digits(kind + flat[:2], bban)) if bban else flat
-            check = 98 - _mod97(flat[:2] + "00" + flat[4:])
-            it = iter(f"{flat[:2]}{check:02d}{flat[4:]}")
-            return "".join(c if c == " " else next(it) for c in s)
+            short = _iban_end(s)
+            while True:  # walked past where the country's IBAN would be read in it
+                bban = "".join(c for c in flat[4:] if c.isdigit())
+                flat = flat[:4] + _refill(flat[4:], self._digits(kind + flat[:2], bban)) if bban else flat
+                check = 98 - _mod97(flat[:2] + "00" + flat[4:])
+                it = iter(f"{flat[:2]}{check:02d}{flat[4:]}")
+                new = "".join(c if c == " " else next(it) for c in s)
+                if not short or not bban or _mod97(new[:short].replace(" ", "")) != 1:
+                    return new
         local, _, domain = s.partition("@")  # an address: letters and digits of the local part
         size = [26 if c.isascii() and c.isalpha() else 10 if c in "0123456789" else 1 for c in local]
         base = [ord("a") if c.islower() else ord("A") if n == 26 else ord("0") if n == 10 else ord(c) for c, n in zip(local, size, strict=True)]
@@ -176,15 +209,18 @@ class Pseudonyms:
         out, at, spans, pos = [], 0, [], 0
         while m := _FIND.search(text, pos):
             kind = m.lastgroup
-            new = self.value(kind, m[0]) if kind in self.kinds else None
+            new = None
+            for n in _ends(kind, m[0]) if kind in self.kinds else ():
+                if (new := self.value(kind, m[0][:n])) is not None:
+                    break
             if new is None:
                 pos = m.start() + 1
                 while pos < len(text) and text[pos - 1] in "0123456789" and text[pos] in "0123456789":
                     pos += 1
                 continue
             out += [text[at : m.start()], new]
-            spans.append((kind, m.start(), m.end()))
-            at = pos = m.end()
+            at = pos = m.start() + n
+            spans.append((kind, m.start(), at))
         out.append(text[at:])
         return "".join(out), spans
 

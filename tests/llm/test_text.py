@@ -138,6 +138,24 @@ def test_pseudonyms(spark):
     assert all(p.invert("t", p.permute("t", x, 97), 97) == x for x in range(97))
 
 
+def test_values_with_neighbours():
+    """A number that is followed by other digits or capitals is still found, alike, and restored."""
+    key, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", forward=False)
+    for value, tails in {"4111 1111 1111 1111": (" 12/27", " 123", " 1"), "4111111111111111": (" 12/27", " 123"), "4111-1111-1111-1111": (" 123", "-123"), "3782 822463 10005": (" 1234", " 12/27"), "BE68 5390 0754 7034": (" BIC", " BIC GEBABEBB", " GEBA BE BB", " 1234"), "BE68539007547034": (" BIC", " 99")}.items():
+        alone = key.replace(value)[0]
+        for tail in tails:
+            new, spans = key.replace(f"pay {value}{tail} now")
+            assert new == f"pay {alone}{tail} now" and alone != value and [x[1:] for x in spans] == [(4, 4 + len(value))]
+            assert back.replace(new)[0] == f"pay {value}{tail} now"
+    r = random.Random(5)
+    for _ in range(300):
+        d = "".join(r.choice("0123456789") for _ in range(15))
+        d += str(-pii.luhn(d + "0") % 10)
+        for t in (f"{d} {r.randint(0, 999)} x", f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]} {r.randint(0, 999)}"):
+            new = key.replace(t)[0]
+            assert d not in new.replace(" ", "") and back.replace(new)[0] == t
+
+
 PAGE = "<html><head><title>T</title></head><body><div class='menu'><p>Home</p></div>{}<div class=sidebar>s</div><div id='comments'><p>Bob</p></div><footer>f</footer></body></html>"
 
 
