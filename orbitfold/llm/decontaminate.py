@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _LOWER, Rolling, first_in_row, mix, ship, slices, utf8_view, words
+from .common import U64, _LOWER, Rolling, first_in_row, materialize, mix, ship, slices, utf8_view, words
 
 #: Words in a window and in a shingle; windows in one broadcast index (under 200 bytes of memory each).
 WINDOW, SHINGLE, INDEX_WINDOWS = 10, 5, 400_000
+#: Passes in one job, as each holds its index in a worker of its own; then the rows are written and read again.
+CHAIN = 4
 
 
 def shingles(rows: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,22 +131,21 @@ def _count(keys):
     return run
 
 
-def _probe(index):
+def _probe(index, last):
+    """A pass that adds its hits to those of each row; the last leaves the texts out."""
+
     def run(batches):
         ix = index.value
         for b in slices(batches, "text"):
             data, off = utf8_view(b.column(1))
-            found, rows, first = ix.find(data, off)
-            hits: dict[int, tuple[set, set]] = {}
+            found, _, first = ix.find(data, off)
+            spans, items = [set(map(tuple, x)) for x in b.column(3).to_pylist()], [set(x) for x in b.column(4).to_pylist()]
             for k, i, v in found:
-                spans, items = hits.setdefault(k, (set(), set()))
-                spans.add((i - int(first[k]), int(ix.size[v])))
-                items.add(ix.items[v])
-            n = b.num_rows
-            spans = [sorted(hits[k][0]) if k in hits else [] for k in range(n)]
-            items = [sorted(hits[k][1]) if k in hits else [] for k in range(n)]
+                spans[k].add((i - int(first[k]), int(ix.size[v])))
+                items[k].add(ix.items[v])
             pair = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first).astype(np.int64)), pa.array(spans, pair), pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
+            text = {} if last else {"text": b.column(1)}
+            yield pa.RecordBatch.from_arrays([b.column(0), *text.values(), pa.array(np.diff(first).astype(np.int64)), pa.array([sorted(x) for x in spans], pair), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["id", *text, "n_words", "spans", "items"])
 
     return run
 
@@ -200,25 +201,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Words, windows and hits as in the module's text. Null and empty texts have no words, items without words no window;
     an item of fewer words than a window is one window; equal items each count; a null item id is named ``null``.
-    Repeated rows each give a row (they need distinct ids only if the benchmark takes several passes). With an empty
-    benchmark nothing is hit. Other columns are ignored.
+    Repeated rows and rows with a null id each give a row, whatever the number of passes. With an empty benchmark nothing
+    is hit. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    passes = []
-    for index in indexes(rows, benchmark, item_id, item_text, window, shingle, index_windows):
-        passes.append(rows.mapInArrow(_probe(index), f"id {kind}, n_words long, spans array<array<int>>, items array<string>"))
+    passes = [*indexes(rows, benchmark, item_id, item_text, window, shingle, index_windows)]
     if not passes:
-        empty = Index([], np.zeros(0, np.int64), [], [], {})
-        passes.append(rows.mapInArrow(_probe(spark.sparkContext.broadcast(empty)), f"id {kind}, n_words long, spans array<array<int>>, items array<string>"))
-    out = passes[0]
-    if len(passes) > 1:
-        every = passes[0]
-        for p in passes[1:]:
-            every = every.unionByName(p)
-        out = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+        passes.append(spark.sparkContext.broadcast(Index([], np.zeros(0, np.int64), [], [], {})))
+    out = rows.selectExpr("id", "text", "0L AS n_words", "CAST(array() AS array<array<int>>) AS spans", "CAST(array() AS array<string>) AS items")
+    for k, index in enumerate(passes):
+        if k and k % CHAIN == 0:
+            out = materialize(out, "contamination")
+        last = k == len(passes) - 1
+        out = out.mapInArrow(_probe(index, last), f"id {kind}, {'' if last else 'text string, '}n_words long, spans array<array<int>>, items array<string>")
     done = out.mapInArrow(_finish, f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>, items array<string>")
     return done.withColumnRenamed("id", id_col)
 

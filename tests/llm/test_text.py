@@ -90,6 +90,15 @@ def test_decontamination_equals_brute_force(spark, index_windows):
     assert decontaminate.contamination(table(spark, docs), spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("index_windows", [400_000, 5, 1])
+def test_decontamination_keeps_repeated_and_null_ids(spark, index_windows):
+    a, b = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"x {a}"), (1, b), (1, "clean"), (None, a), (None, f"{b} y z"), (2, None), (1, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", a), ("j", b), ("k", b)], "item_id string, text string")
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(docs, items, index_windows=index_windows).collect()]
+    assert collections.Counter(map(str, got)) == collections.Counter(map(str, [(1, 13, 12, ["i"]), (1, 12, 12, ["j", "k"]), (1, 1, 0, []), (None, 12, 12, ["i"]), (None, 14, 12, ["j", "k"]), (2, 0, 0, []), (1, 1, 0, [])]))
+
+
 def test_archives(spark):
     rows = [(1, "http://a/\r\n x", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://b", None), (4, "http://c", ""), (5, "u", "x" * 300_000), (6, "u", "<p>é</p>"), (7, "u", "solo\r\n\r\nWARC/1.1")]
     got = {r["page_id"]: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("archive", F.lit(1))).collect()}
