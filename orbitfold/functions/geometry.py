@@ -221,10 +221,25 @@ def great_circle_km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return f"(2e0 * 6371e0 * asin(least(1e0, sqrt({h}))))"
 
 
-def vincenty(lat1: str, lon1: str, lat2: str, lon2: str, rounds: int = 12) -> list[Stage]:
-    """dist_km on the ellipsoid by ``rounds`` rounds of the inverse formula; the great circle if these do not settle."""
-    lam = "lam0"
-    out = [{"u1": f"atan((1e0 - {f.FLATTENING}) * tan(radians({lat1})))", "u2": f"atan((1e0 - {f.FLATTENING}) * tan(radians({lat2})))", "span": f"radians({lon2} - {lon1})"}, {"lam0": "span"}]
+def _settled_longitude(rounds: int) -> str:
+    """The longitude difference before the last round, of ``rounds`` at most, of Vincenty's formula, in Spark's SQL."""
+    let = lambda name, values, body: f"transform(array(named_struct({', '.join(f'{c!r}, {e}' for c, e in values.items())})), {name} -> {body})[0]"
+    body = f"span + (1e0 - w.cc) * {f.FLATTENING} * v.sa * (v.sg + w.cc * t.ss * (w.cm + w.cc * t.cs * (2e0 * w.cm * w.cm - 1e0)))"
+    body = let("w", {"cm": "CASE WHEN 1e0 - v.sa * v.sa < 1e-14 THEN 0e0 ELSE t.cs - 2e0 * sin(u1) * sin(u2) / (1e0 - v.sa * v.sa) END", "cc": f"{f.FLATTENING} / 16e0 * (1e0 - v.sa * v.sa) * (4e0 + {f.FLATTENING} * (4e0 - 3e0 * (1e0 - v.sa * v.sa)))"}, body)
+    body = let("v", {"sg": "atan2(t.ss, t.cs)", "sa": "CASE WHEN t.ss = 0e0 THEN 0e0 ELSE cos(u1) * cos(u2) * sin(s.nxt) / nullif(t.ss, 0e0) END"}, body)
+    body = let("t", {"ss": "sqrt(power(cos(u2) * sin(s.nxt), 2e0) + power(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(s.nxt), 2e0))", "cs": "sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(s.nxt)"}, body)
+    start = "named_struct('lam', CAST(NULL AS DOUBLE), 'nxt', span)"
+    return f"aggregate(sequence(1, {rounds}), {start}, (s, k) -> CASE WHEN abs(s.nxt - s.lam) <= 1e-12 THEN s ELSE named_struct('lam', s.nxt, 'nxt', {body}) END, s -> s.lam)"
+
+
+def vincenty(lat1: str, lon1: str, lat2: str, lon2: str, rounds: int = 200, unrolled: bool = False) -> list[Stage]:
+    """dist_km on the ellipsoid by at most ``rounds`` rounds of the inverse formula; the great circle if these do not settle.
+
+    The rounds are a fold in Spark's SQL; ``unrolled``, all are stages that other engines compute too.
+    """
+    lam, start = "lam0", "span" if unrolled else _settled_longitude(rounds)
+    rounds = rounds if unrolled else 1
+    out = [{"u1": f"atan((1e0 - {f.FLATTENING}) * tan(radians({lat1})))", "u2": f"atan((1e0 - {f.FLATTENING}) * tan(radians({lat2})))", "span": f"radians({lon2} - {lon1})"}, {"lam0": start}]
     for n in range(1, rounds + 1):
         out += [
             {f"ss{n}": f"sqrt(power(cos(u2) * sin({lam}), 2e0) + power(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos({lam}), 2e0))", f"cs{n}": f"sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos({lam})"},

@@ -308,7 +308,9 @@ staged("n4_zonal_acceleration", [*_STATE, *geo.gravity()], {c: f"a{c} * 1e6" for
 computed("n13_scale_height", "norad_id", {"height_km": geo.scale_height_km("(70e0 + ordinal % 180)", "(80e0 + ordinal % 160)", "(ordinal % 50)")}, 4)
 computed("n7_process_noise", "norad_id", geo.process_noise("1e-3", "(1e0 + ordinal % 600)"))
 computed("d6_projected_area", "norad_id", {"area_m2": geo.projected_area_m2("3e0", "(1e0 + ordinal % 4)", "2e0", [("1e0", "0e0", "0e0"), ("0e0", "1e0", "0e0"), ("0e0", "0e0", "1e0")], ("cos(radians(raan))", "sin(radians(raan)) * 0.6e0", "sin(radians(raan)) * 0.8e0"))})
-staged("t10_vincenty_distance", [{"lat1": "(inclination - 90e0) * 0.9e0", "lon1": "raan - 180e0", "lat2": "(argp - 180e0) * 0.4e0", "lon2": "mean_anomaly * 0.3e0 - 50e0"}, *geo.vincenty("lat1", "lon1", "lat2", "lon2")], _same("dist_km"), 3)
+_PAIR = {"lat1": "(inclination - 90e0) * 0.9e0", "lon1": "raan - 180e0", "lat2": "(argp - 180e0) * 0.4e0", "lon2": "mean_anomaly * 0.3e0 - 50e0"}
+staged("t10_vincenty_distance", [_PAIR, *geo.vincenty(*_PAIR, rounds=12, unrolled=True)], _same("dist_km"), 3)
+QUERIES["t10_vincenty_distance"] = lambda spark, sf: geo.extend(syn.catalog(spark, sf), [_PAIR, *geo.vincenty(*_PAIR)]).selectExpr("norad_id", "round(dist_km, 3) AS dist_km")  # the SQL has 12 rounds only
 _TX, _TY = f.teme_to_ecef("x", "y", "epoch_jd")
 _TRACK = [*_STATE, {"ex": _TX, "ey": _TY}, {"lat": f.ecef_to_latitude("ex", "ey", "z"), "lon": "degrees(atan2(ey, ex))"}, {"alt": f.ecef_to_altitude("ex", "ey", "z", "lat")}]
 staged("t9_ground_track", _TRACK, {"lat": "lat", "alt": "alt", "lon_cos": "cos(radians(lon))"}, 3)

@@ -71,6 +71,38 @@ def test_vincenty_known_distances(spark):
         assert abs(r["dist_km"] - want) < 1e-5
 
 
+def textbook_vincenty(lat1, lon1, lat2, lon2):
+    """Distance and rounds, or None."""
+    a, fl = 6378.137, 1 / 298.257223563
+    b, span = a * (1 - fl), math.radians(lon2 - lon1)
+    u, v = (math.atan((1 - fl) * math.tan(math.radians(x))) for x in (lat1, lat2))
+    lam = span
+    for n in range(1, 201):
+        ss = math.hypot(math.cos(v) * math.sin(lam), math.cos(u) * math.sin(v) - math.sin(u) * math.cos(v) * math.cos(lam))
+        cs = math.sin(u) * math.sin(v) + math.cos(u) * math.cos(v) * math.cos(lam)
+        sg, sa = math.atan2(ss, cs), math.cos(u) * math.cos(v) * math.sin(lam) / ss
+        ca = 1 - sa * sa
+        cm, c = cs - 2 * math.sin(u) * math.sin(v) / ca, fl / 16 * ca * (4 + fl * (4 - 3 * ca))
+        lam, old = span + (1 - c) * fl * sa * (sg + c * ss * (cm + c * cs * (2 * cm * cm - 1))), lam
+        if abs(lam - old) < 1e-12:
+            q = ca * (a * a - b * b) / (b * b)
+            p, w = 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))), q / 1024 * (256 + q * (-128 + q * (74 - 47 * q)))
+            return b * p * (sg - w * ss * (cm + w / 4 * (cs * (2 * cm * cm - 1) - w / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))), n
+    return None
+
+
+def test_vincenty_of_slow_pairs(spark):
+    pairs = [(10, 0, -9, 178.5), (45, 0, -44, 179), (0.5, 0, 0.2, 178.9), (51.5, 0.1, -33.9, 151.2)]
+    df = spark.createDataFrame([tuple(map(float, p)) for p in pairs], "a double, b double, c double, d double")
+    for r in g.extend(df, g.vincenty("a", "b", "c", "d")).select("a", "b", "c", "d", "dist_km").collect():
+        want, _ = textbook_vincenty(*r[:4])
+        assert abs(r["dist_km"] - want) < 1e-6
+    assert textbook_vincenty(*pairs[0])[1] > 12 and textbook_vincenty(*pairs[2])[1] > 20
+    assert textbook_vincenty(0, 0, 0.3, 179.7) is None
+    far = one(spark, {"a": 0, "b": 0, "c": 0.3, "d": 179.7}, g.vincenty("a", "b", "c", "d"), "dist_km")["dist_km"]
+    assert math.isclose(far, 6371 * math.acos(math.cos(math.radians(0.3)) * math.cos(math.radians(179.7))), rel_tol=1e-9)
+
+
 def test_elements_of_special_orbits(spark):
     v = math.sqrt(398600.4418 / 7000)
     names = ("el_a", "el_e", "el_i", "el_raan", "el_argp", "el_nu")
