@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings, keeping the first: longest-previous-factor tests in suffix order.
+"""Removal of repeated byte strings, keeping the first: windows of equal rank in suffix order.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier in the corpus, that is, if the longest
 previous factor of some suffix before it is at least LENGTH. A suffix array of the whole corpus would be shuffled many
@@ -11,8 +11,8 @@ strings, and equal windows have equal ones, however far apart they are.
    a passage that a third of all documents have is sent once for each block. Windows around a very frequent minimizer
    are sent one by one to buckets of their own content, so no bucket depends on one minimizer.
 4. In a bucket, equal contexts are settled by comparing their bytes. The rest get a suffix array to depth LENGTH by
-   prefix doubling of ranks; in its order, a position whose previous or next smaller position shares LENGTH bytes, thus
-   one that is not the least of its rank, has an earlier match.
+   prefix doubling of ranks; a position that is not the least of its rank has an earlier match. This answers the test
+   of the longest previous factor against LENGTH; the factors and the smaller positions themselves are not computed.
 5. The matched ranges go back to their blocks, which remove them.
 
 Hashes only bring candidates together: equal strings always meet, and every match rests on compared bytes or ranks.
