@@ -25,11 +25,13 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own on a local master (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="orbitfold-")
         spark.sparkContext.setCheckpointDir(at)
         return spark.sparkContext.getCheckpointDir()
@@ -51,20 +53,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     sc = spark.sparkContext
     atexit.register(_delete, sc._jvm, sc._jsc.hadoopConfiguration(), path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` has written, once all that reads it is written too."""
+    sc = df.sparkSession.sparkContext
+    _delete(sc._jvm, sc._jsc.hadoopConfiguration(), df._written_at)
+
+
+def integer_id(df: DataFrame, name: str) -> None:
+    """A clear error where ids are no integers."""
+    if df.schema[name].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"column {name} must hold integers, not {df.schema[name].dataType.simpleString()}")
 
 
-def likely(left: DataFrame, key: str, keys: DataFrame, bits: int = 26) -> DataFrame:
+def likely(left: DataFrame, key: str, keys: DataFrame, bits: int = 26, others: bool = False) -> DataFrame:
     """The rows of ``left`` whose ``key`` may be in the column of that name of ``keys``; a few others stay too.
 
     A bitmap of 2**bits places, at most 2**(bits - 6) rows of two numbers (16 MB at the default), is broadcast, so its
     size is bounded whatever the data. It thins out what an exact join then shuffles; if it is full, it drops nothing.
+    A null key is in no table. With ``others``, exactly the rows that are left out otherwise.
     """
     place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
     bit = F.expr("shiftleft(1L, cast(__place % 64 as int))")
     maps = keys.select(place.alias("__place")).select((F.col("__place") / 64).cast("long").alias("__w"), bit.alias("__b")).groupBy("__w").agg(F.bit_or("__b").alias("__m"))
     mine = left.withColumn("__place", place).withColumn("__word", (F.col("__place") / 64).cast("long")).withColumn("__bit", bit)
-    return mine.join(F.broadcast(maps), (F.col("__word") == F.col("__w")) & (F.col("__m").bitwiseAND(F.col("__bit")) != 0), "left_semi").select(*left.columns)
+    on = F.col(key).isNotNull() & (F.col("__word") == F.col("__w")) & (F.col("__m").bitwiseAND(F.col("__bit")) != 0)
+    return mine.join(F.broadcast(maps), on, "left_anti" if others else "left_semi").select(*left.columns)
 
 
 def ship(spark: SparkSession) -> None:

@@ -4,8 +4,8 @@ Documents with equal sets of five-word shingles form one node. Nodes that share
 buckets; there the values (one byte of each) are compared some at a time, and a pair is dropped when the posterior
 probability that its similarity reaches the threshold falls below a tolerance. What survives puts nodes into candidate
 groups; only documents of these send their whole shingle sets, and every pair inside a group is verified exactly.
-Buckets and groups beyond a size are split into pairs of chunks, so no task grows with them; pairs are never rows: a task
-gives each node's links as a number, and an edge to the least node that it is connected with.
+Buckets and groups beyond a size, in nodes or in bytes, are split into pairs of chunks, so no task grows with them; pairs
+are never rows: a task gives each node's links as a number, and an edge to the least node that it is connected with.
 
 At a similarity of exactly 0.8 a pair shares no band with probability (1 - 0.8**4)**24 = 3e-6, and is pruned with about
 the tolerance; both fall quickly above.
@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
-from .common import U64, first_in_row, free_name, likely, materialize, mix, ship, slices, utf8_view, words
+from .common import U64, discard, first_in_row, free_name, integer_id, likely, materialize, mix, ship, slices, utf8_view, words
 from .components import components
 from .decontaminate import shingles
 
@@ -28,8 +30,8 @@ N_WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 24, 1e-6
-#: Nodes in a chunk of a bucket or group.
-CHUNK = 384
+#: Nodes in a chunk of a bucket or group, and bytes of shingles in a chunk of a group.
+CHUNK, CHUNK_BYTES = 384, 16 << 20
 LAST = 2**63 - 1  # the id that null stands for
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
@@ -70,15 +72,21 @@ def set_keys(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.stack([mix((t[off[1:]] - t[off[:-1]]) + np.diff(off).astype(U64)) for t in total], 1)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
-        data, off = utf8_view(b.column(1))
-        rows, _, _, hashes = words(data, off)
-        h, at = shingle_sets(rows, hashes, b.num_rows)
-        n, key = np.diff(at), set_keys(h, at)
-        sig = signatures(h, at)
-        columns = [pa.array([x.tobytes() if s else None for x, s in zip(values, n > 0, strict=True)], pa.binary()) for values in (key, sig, sig.astype(np.uint8))]
-        yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "node", "sig", "low"])
+def _sign(text: str, names: list[str]):
+    """The columns that come, the text only if it is among ``names``, then set key, MinHash values, their low bytes, shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text):
+            data, off = utf8_view(b.column(b.schema.get_field_index(text)))
+            rows, _, _, hashes = words(data, off)
+            h, at = shingle_sets(rows, hashes, b.num_rows)
+            n, key = np.diff(at), set_keys(h, at)
+            sig = signatures(h, at)
+            found = [pa.array([x.tobytes() if s else None for x, s in zip(values, n > 0, strict=True)], pa.binary()) for values in (key, sig, sig.astype(np.uint8))]
+            carried = [b.column(i) for i, c in enumerate(b.schema.names) if c in names]
+            yield pa.RecordBatch.from_arrays([*carried, *found, pa.array(n.astype(np.int64))], names)
+
+    return run
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,13 +277,36 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if threshold < THRESHOLD:
         raise ValueError("bands and pruning are set up for similarities of 0.8 or more")
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(rows.mapInArrow(_sign, "id long, node binary, sig binary, low binary"), "jaccard-signed")
-    nodes = materialize(
-        signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig"), F.first("low").alias("low")), "jaccard-nodes"
-    )
+    integer_id(docs, id_col)
+    rows = docs.select(_with_id(id_col), F.col(text_col).cast("string").alias("text"))
+    signed = _signed(rows, "text", ["id"], ["node", "sig", "low", "n"])
+    answer = _classes(signed, rows, threshold)
+    out = signed.select("id", "node").join(answer, "node", "left")
+    null = lambda c: F.when(c != LAST, c)
+    count = lambda c, least: F.coalesce(c, F.lit(least)).cast("long").alias(c)
+    return out.select(null(F.col("id")).alias(id_col), null(F.coalesce("keep_id", "id")).alias("class_id"), count("class_size", 1), count("n_links", 0))
+
+
+def _with_id(id_col: str):
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id")
+
+
+def _signed(rows: DataFrame, text: str, carried: list[str], added: list[str]) -> DataFrame:
+    """The carried columns, then set key, MinHash values, their low bytes and the number of shingles, as a written table."""
+    ship(rows.sparkSession)
+    kinds = [BinaryType(), BinaryType(), BinaryType(), LongType()]
+    schema = StructType([*(rows.schema[c] for c in carried), *(StructField(n, t) for n, t in zip(added, kinds, strict=True))])
+    return materialize(rows.mapInArrow(_sign(text, [*carried, *added]), schema), "jaccard-signed")
+
+
+def _classes(signed: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """(node, keep_id, keep_node, class_size, n_links) of ``signed`` (id, node, sig, low, n), texts from ``rows`` (id, text).
+
+    The first of a class is the one with the least id, then the least set key.
+    """
+    spark = signed.sparkSession
+    firsts = (F.first(c).alias(c) for c in ("sig", "low", "n"))
+    nodes = materialize(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), *firsts), "jaccard-nodes")
     bands = nodes.select("node", "sig").mapInArrow(_bands, "band long, node binary")
     several = materialize(bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "jaccard-buckets")
     met = materialize(likely(bands, "band", several).join(several, "band"), "jaccard-met")
@@ -283,8 +314,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = chunked(met.join(nodes.select("node", F.col("low").alias("sig")), "node"), "band", "c", "node")
     dealt = pairs.repartition(partitions, "band", "ci", "cj").sortWithinPartitions("band", "ci", "cj")
     edges = dealt.select("band", "ci", "cj", "_mine", "node", "sig").mapInArrow(_candidates, "a binary, b binary").distinct()
-    groups = components(edges)
-    sized = materialize(groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("c")), "root").join(nodes.select("node", "id", "size"), "node"), "jaccard-groups")
+    groups = materialize(components(edges).join(nodes.select("node", "id", "size", "n"), "node"), "jaccard-groups")
+    heavy = F.ceil(F.sum("n") * (8.0 * CHUNK / CHUNK_BYTES))  # a group of long texts counts as one of more nodes
+    sized = materialize(groups.join(groups.groupBy("root").agg(F.greatest(F.count(F.lit(1)), heavy).alias("c")), "root"), "jaccard-sized")
     sets = first_texts(rows, sized).mapInArrow(_sets, "grp binary, node binary, size long, c long, set binary")
     pairs = chunked(sets, "grp", "c", "node")
     dealt = pairs.repartition(partitions, "grp", "ci", "cj").sortWithinPartitions("grp", "ci", "cj")
@@ -293,20 +325,35 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = linked.groupBy("a").agg(F.sum("links").alias("links"))
     named = nodes.select("node", "id", "size").join(classes, "node", "left").join(links, F.col("node") == F.col("a"), "left")
     named = named.select("node", "id", "size", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    whole = named.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("size").alias("class_size"))
-    answer = materialize(named.join(whole, "root").select("node", "class_id", "class_size", (F.col("links") + F.col("size") - 1).alias("n_links")), "jaccard-answer")
-    out = signed.select("id", "node").join(answer, "node", "left")
-    null = lambda c: F.when(c != LAST, c)
-    return out.select(
-        null(F.col("id")).alias(id_col), null(F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    whole = named.groupBy("root").agg(F.min(F.struct("id", "node")).alias("least"), F.sum("size").alias("class_size"))
+    found = named.join(whole, "root")
+    found = found.select("node", F.col("least.id").alias("keep_id"), F.col("least.node").alias("keep_node"), "class_size", (F.col("links") + F.col("size") - 1).alias("n_links"))
+    answer = materialize(found, "jaccard-answer")
+    for t in (several, met, groups, sized, linked):
+        discard(t)
+    return answer
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without links, and of each class the one with the least id; all columns as they were."""
-    (mine,) = free_name(docs, "of")
-    gone = jaccard_join(docs, id_col, text_col, threshold).where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias(mine)).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[mine]), "left_anti")
+    """The rows without links, and of each class one row, that with the least id; all columns as they were.
+
+    Rows are told apart by id and set of shingles: rows of one id, or of none, with unrelated texts all stay. Of rows
+    with the same id and set the one whose text comes first stays. Null, empty and wordless texts stay; an empty table
+    gives an empty result. Of very long texts nothing is cut.
+    """
+    integer_id(docs, id_col)
+    added = free_name(docs, "near_node", "near_sig", "near_low", "near_n", "near_rank", "near_keep_id", "near_keep_node")
+    node, _, _, _, rank, keep_id, keep_node = added
+    signed = _signed(docs, text_col, docs.columns, added[:4])
+    rows = signed.select(_with_id(id_col), F.col(text_col).cast("string").alias("text"))
+    answer = _classes(signed.select(_with_id(id_col), *(F.col(c).alias(n) for c, n in zip(added, ("node", "sig", "low", "n"), strict=False))), rows, threshold)
+    several = answer.where("class_size > 1").select(F.col("node").alias(node), F.col("keep_id").alias(keep_id), F.col("keep_node").alias(keep_node))
+    alone = likely(signed, node, several, others=True)
+    rest = likely(signed, node, several).join(several, node, "left")
+    stays = F.col(keep_id).isNull() | ((_with_id(id_col) == F.col(keep_id)) & (F.col(node) == F.col(keep_node)))
+    one = F.row_number().over(Window.partitionBy(node).orderBy(text_col))
+    rest = rest.where(stays).withColumn(rank, one).where(F.col(rank) == 1)
+    return alone.select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def first_texts(rows: DataFrame, sized: DataFrame) -> DataFrame:
