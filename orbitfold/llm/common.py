@@ -64,6 +64,16 @@ def discard(df: DataFrame) -> None:
     _delete(sc._jvm, sc._jsc.hadoopConfiguration(), df._written_at)
 
 
+def columns(names: list[str]) -> list:
+    """Columns by name, whatever characters the names have."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def safe_names(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ..., as functions over Arrow batches take no names with dots or backticks."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def integer_id(df: DataFrame, name: str) -> None:
     """A clear error where ids are no integers."""
     if df.schema[name].dataType.typeName() not in ("byte", "short", "integer", "long"):
@@ -82,7 +92,7 @@ def likely(left: DataFrame, key: str, keys: DataFrame, bits: int = 26, others: b
     maps = keys.select(place.alias("__place")).select((F.col("__place") / 64).cast("long").alias("__w"), bit.alias("__b")).groupBy("__w").agg(F.bit_or("__b").alias("__m"))
     mine = left.withColumn("__place", place).withColumn("__word", (F.col("__place") / 64).cast("long")).withColumn("__bit", bit)
     on = F.col(key).isNotNull() & (F.col("__word") == F.col("__w")) & (F.col("__m").bitwiseAND(F.col("__bit")) != 0)
-    return mine.join(F.broadcast(maps), on, "left_anti" if others else "left_semi").select(*left.columns)
+    return mine.join(F.broadcast(maps), on, "left_anti" if others else "left_semi").select(*columns(left.columns))
 
 
 def ship(spark: SparkSession) -> None:

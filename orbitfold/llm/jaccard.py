@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import U64, discard, first_in_row, free_name, integer_id, likely, materialize, mix, ship, slices, utf8_view, words
+from .common import U64, columns, discard, first_in_row, free_name, integer_id, likely, materialize, mix, safe_names, ship, slices, utf8_view, words
 from .components import components
 from .decontaminate import shingles
 
@@ -295,8 +295,9 @@ def _signed(rows: DataFrame, text: str, carried: list[str], added: list[str]) ->
     """The carried columns, then set key, MinHash values, their low bytes and the number of shingles, as a written table."""
     ship(rows.sparkSession)
     kinds = [BinaryType(), BinaryType(), BinaryType(), LongType()]
-    schema = StructType([*(rows.schema[c] for c in carried), *(StructField(n, t) for n, t in zip(added, kinds, strict=True))])
-    return materialize(rows.mapInArrow(_sign(text, [*carried, *added]), schema), "jaccard-signed")
+    safe, place = safe_names(rows), {c: f"c{i}" for i, c in enumerate(rows.columns)}
+    fields = [*(safe.schema[place[c]] for c in carried), *(StructField(n, t) for n, t in zip(added, kinds, strict=True))]
+    return materialize(safe.mapInArrow(_sign(place[text], [f.name for f in fields]), StructType(fields)).toDF(*carried, *added), "jaccard-signed")
 
 
 def _classes(signed: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
@@ -353,7 +354,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stays = F.col(keep_id).isNull() | ((_with_id(id_col) == F.col(keep_id)) & (F.col(node) == F.col(keep_node)))
     one = F.row_number().over(Window.partitionBy(node).orderBy(text_col))
     rest = rest.where(stays).withColumn(rank, one).where(F.col(rank) == 1)
-    return alone.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    return alone.select(*columns(docs.columns)).unionByName(rest.select(*columns(docs.columns)))
 
 
 def first_texts(rows: DataFrame, sized: DataFrame) -> DataFrame:

@@ -14,15 +14,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import free_name, ship, slices, utf8_view
+from .common import columns, free_name, safe_names, ship, slices, utf8_view
 
-#: n-gram lengths, bins, landmarks, training texts for each language (a bounded sample), ridge.
-GRAMS, BINS, LANDMARKS, PER_LANG, RIDGE = (1, 2, 3, 4), 8192, 192, 400, 1e-2
+#: n-gram lengths, bins, training texts for each language (a bounded sample), ridge.
+GRAMS, BINS, PER_LANG, RIDGE = (1, 2, 3, 4), 8192, 400, 1e-2
+#: Landmarks in all, and of each language at least.
+LANDMARKS, PER_LABEL = 192, 8
 UNKNOWN = "und"
-#: A text that scores less in every language is rejected by the pipeline: no better than a guess among three.
-LEAST_SCORE = 0.35
+#: A text whose best decision value leads the mean of the others by less is rejected by the pipeline. Values of texts in
+#: a language are near 1 and those of the others near -1, however many languages there are.
+LEAST_LEAD = 0.12
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -68,7 +72,7 @@ class Model:
     def __init__(self, x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.langs = sorted(set(labels))
         x = x / np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1e-9)
-        pick, per = [], max(1, landmarks // max(1, len(self.langs)))
+        pick, per = [], max(PER_LABEL, landmarks // max(1, len(self.langs)))
         y = np.array([self.langs.index(v) for v in labels])
         for c in range(len(self.langs)):
             pick += np.flatnonzero(y == c)[:per].tolist()
@@ -89,11 +93,16 @@ class Model:
         norm = np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1e-9)
         return ((x @ self.z) / norm) @ self.head + self.bias
 
-    def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language number and a score in 0..1 (the share of the best decision value, softened) of each text."""
+    def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language number, a score in 0..1 (the share of the best decision value, softened) and its lead, of each text.
+
+        The lead is that of the best decision value over the mean of the others, or over -1 if there is one language.
+        """
         s = np.vstack([self.scores(presence(data[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in _groups(off)]) if len(off) > 1 else np.zeros((0, len(self.langs)))
         e = np.exp(4 * (s - s.max(1, keepdims=True)))
-        return s.argmax(1), (e.max(1) / e.sum(1)).astype(np.float64)
+        top, n = s.max(1), len(self.langs)
+        lead = top - ((s.sum(1) - top) / (n - 1) if n > 1 else -1.0)
+        return s.argmax(1), (e.max(1) / e.sum(1)).astype(np.float64), lead.astype(np.float64)
 
 
 def _groups(off: np.ndarray, rows: int = 256) -> Iterator[tuple[int, int]]:
@@ -104,63 +113,75 @@ def held_out(id_col) -> object:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_langs: int = 64, text_chars: int = 8192) -> Model | None:
+def _presence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "t"):
+        data, off = utf8_view(b.column(1))
+        for i, j in _groups(off):
+            bits = np.packbits(presence(data[off[i] : off[j]], off[i : j + 1] - off[i]) > 0, axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in bits], pa.binary())], ["l", "x"])
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model | None:
     """A model from at most ``per_lang`` labelled rows of each language, outside the held-out third; None without such rows.
 
     The sample is the rows with the least hash of their id, so it does not depend on partitioning; a threshold from the
-    counts of the languages is applied before anything is shuffled. ``max_langs`` bounds the labels, most frequent
-    first, and ``text_chars`` the part of a training text that is used; what is predicted is always the whole text.
+    counts of the languages is applied before anything is shuffled. Every label is learned, from whole texts: these are
+    turned into presence rows of BINS bits where they are, so a kilobyte for each comes to the driver.
     """
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(~held_out(F.col("i")) & F.col("l").isNotNull())
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where(~held_out(F.col("i")) & F.col("l").isNotNull())
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}  # a row for each language
     if not counts:
         return None
     h = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("sample")), F.lit(1 << 30))
-    share = F.lit(-1)
-    for r in counts:  # about twice the rows that are wanted, then the least hashes of these
-        share = F.when(F.col("l") == r["l"], F.lit(int((1 << 30) * min(1.0, 2 * per_lang / r["count"])))).otherwise(share)
-    some = rows.withColumn("h", h).where(F.col("h") < share).where(F.col("t").rlike(r"\p{L}")).select("l", "h", F.left("t", F.lit(text_chars)).alias("t"))
+    # about twice the rows that are wanted, then the least hashes of these
+    share = F.create_map(*(F.lit(v) for k, n in sorted(counts.items()) for v in (k, int((1 << 30) * min(1.0, 2 * per_lang / n)))))
+    some = rows.withColumn("h", h).where(F.col("h") < F.try_element_at(share, F.col("l"))).where(F.col("t").rlike(r"\p{L}")).select("l", "h", "t")
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
-    sample = some.withColumn("k", rank).where(F.col("k") <= per_lang).orderBy("l", "k").select("l", "t").collect()
-    if not sample:
+    sample = some.withColumn("k", rank).where(F.col("k") <= per_lang).select("l", "t")
+    found = sorted((r["l"], bytes(r["x"])) for r in sample.mapInArrow(_presence_rows, "l string, x binary").collect())
+    if not found:
         return None
-    texts = [r["t"].encode() for r in sample]
-    off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    return Model(np.vstack([presence(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in _groups(off)]), [r["l"] for r in sample])
+    x = np.unpackbits(np.frombuffer(b"".join(x for _, x in found), np.uint8).reshape(len(found), -1), axis=1)[:, :BINS].astype(np.float32)
+    return Model(x, [v for v, _ in found])
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, then held_out, lang_pred, score (with leading underscores where ``docs`` has such names)."""
+    """All columns of ``docs``, then held_out, lang_pred, score, lead (with leading underscores where ``docs`` has such names)."""
     spark = docs.sparkSession
     ship(spark)
-    out, pred, sure = free_name(docs, "held_out", "lang_pred", "score")
-    sent = spark.sparkContext.broadcast(model)  # at most LANDMARKS rows of BINS floats, and the weights
+    out, pred, sure, lead = free_name(docs, "held_out", "lang_pred", "score", "lead")
+    sent = spark.sparkContext.broadcast(model)  # rows of BINS floats: LANDMARKS, or PER_LABEL a language; and the weights
     rows = docs.withColumn(out, held_out(F.col(id_col)))
+    safe, text = safe_names(rows), f"c{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in slices(batches, text_col):
-            col = b.column(b.schema.get_field_index(text_col))
+        for b in slices(batches, text):
+            col = b.column(b.schema.get_field_index(text))
             some = has_letter(col.to_pylist())
             if m is None:
-                lang, score = np.full(b.num_rows, None, object), np.zeros(b.num_rows)
+                lang, score, ahead = np.full(b.num_rows, None, object), np.zeros(b.num_rows), np.zeros(b.num_rows)
             else:
-                best, score = m.predict(*utf8_view(col))
+                best, score, ahead = m.predict(*utf8_view(col))
                 lang = np.array(m.langs, object)[best]
             lang[~some], score[~some] = UNKNOWN, 0.0
             lang = np.where(np.equal(lang, None), UNKNOWN, lang)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], [*b.schema.names, pred, sure])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang.tolist(), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(ahead)], [*b.schema.names, pred, sure, lead])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, schema + f", `{pred}` string, `{sure}` double")
+    added = [StructField(pred, StringType()), StructField(sure, DoubleType()), StructField(lead, DoubleType())]
+    return safe.mapInArrow(run, StructType([*safe.schema, *added])).toDF(*rows.columns, pred, sure, lead)
 
 
-def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
-    """The documents with a language, all columns as they were: not ``und``, and a score of ``least`` or more."""
+def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_LEAD) -> DataFrame:
+    """The documents with a language, all columns as they were: not ``und``, and a lead of ``least`` or more.
+
+    Null, empty and letterless texts go, and all rows if there is nothing to learn from. Repeated rows and null ids are
+    rows like any others; an empty table gives an empty result; very long texts are scored whole.
+    """
     some = predict(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
-    _, pred, sure = free_name(docs, "held_out", "lang_pred", "score")
-    return some.where((F.col(pred) != UNKNOWN) & (F.col(sure) >= least)).select(*docs.columns)
+    _, pred, _, lead = free_name(docs, "held_out", "lang_pred", "score", "lead")
+    return some.where((F.col(pred) != UNKNOWN) & (F.col(lead) >= least)).select(*columns(docs.columns))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
