@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _LOWER, Rolling, first_in_row, materialize, mix, ship, slices, utf8_view, words
+from .common import U64, _LOWER, Rolling, first_in_row, materialize, mix, safe_names, ship, slices, utf8_view, words
 
 #: Words in a window and in a shingle; windows in one broadcast index (under 200 bytes of memory each).
 WINDOW, SHINGLE, INDEX_WINDOWS = 10, 5, 400_000
@@ -164,21 +164,26 @@ def indexes(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, index_windows: int = INDEX_WINDOWS) -> DataFrame:
-    """The documents without any window of the benchmark, all columns as they were; nothing is shuffled."""
+    """The documents without any window of the benchmark, all columns as they were; nothing is shuffled.
+
+    Null, empty and wordless texts stay, and repeated rows and rows with a null id are rows like any others. An empty
+    benchmark leaves all, an empty table gives an empty result; very long texts are searched whole.
+    """
     ship(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows, out = docs.select(F.col(text_col).alias("text")), docs
-    for index in indexes(rows, benchmark, item_id, item_text, window, shingle, index_windows):
+    rows, out, text = docs.select(F.col(text_col).alias("text")), safe_names(docs), f"c{docs.columns.index(text_col)}"
+    for k, index in enumerate(indexes(rows, benchmark, item_id, item_text, window, shingle, index_windows)):
 
         def run(batches, index=index):
-            for b in slices(batches, text_col):
-                found = index.value.find(*utf8_view(b.column(b.schema.get_field_index(text_col))))[0]
+            for b in slices(batches, text):
+                found = index.value.find(*utf8_view(b.column(b.schema.get_field_index(text))))[0]
                 keep = np.ones(b.num_rows, bool)
                 keep[[k for k, _, _ in found]] = False
                 yield b.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, schema)
-    return out
+        if k and k % CHAIN == 0:
+            out = materialize(out, "clean")
+        out = out.mapInArrow(run, out.schema)
+    return out.toDF(*docs.columns)
 
 
 def _finish(batches):

@@ -85,7 +85,8 @@ def test_decontamination_equals_brute_force(spark, index_windows):
                         found.add(str(i))
         assert (g["n_words"], g["n_hit"], g["n_items"], g["contaminated"]) == (len(w), len(hit), len(found), bool(hit))
         assert g["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-    clean = decontaminate.drop_contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), index_windows=index_windows)
+    odd = table(spark, docs).withColumn("a`b.c", F.lit(1))
+    clean = decontaminate.drop_contaminated(odd, spark.createDataFrame(items, "item_id long, text string"), index_windows=index_windows)
     assert sorted(x["doc_id"] for x in clean.collect()) == sorted(g["doc_id"] for g in got if not g["contaminated"])
     assert decontaminate.contamination(table(spark, docs), spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count() == 0
 
@@ -131,6 +132,40 @@ def test_language(spark):
     assert kept.count() == df.count() + 1
 
 
+def test_language_learns_every_label(spark):
+    """65 invented languages of different letters, one column name with a backtick, repeated rows, and an empty table."""
+    r = random.Random(6)
+    letters = [chr(0x4E00 + 40 * k) + chr(0x4E01 + 40 * k) + chr(0x4E02 + 40 * k) for k in range(65)]
+    text = lambda k: " ".join("".join(r.choice(letters[k]) for _ in range(r.randint(1, 6))) for _ in range(20))
+    rows = [(65 * n + k, text(k), f"l{k}") for k in range(65) for n in range(9)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("a`b", F.lit(1))
+    got = language.identify(df).collect()
+    want = {i: v for i, _, v in rows}
+    assert len(got) == len(rows) and np.mean([x["lang_pred"] == want[x["doc_id"]] for x in got]) > 0.99
+    assert language.drop_rejected(df).count() == len(rows)
+    assert language.identify(df.limit(0)).count() == 0
+
+
+def test_kernel_ridge_equals_plain_computation():
+    """Presence rows, Nystrom features and weights against sets, matrix square roots and least squares."""
+    r = random.Random(7)
+    words = [["the", "and", "of", "house"], ["der", "und", "das", "haus"], ["le", "et", "la", "maison"]]
+    texts, labels = zip(*(((" ".join(r.choice(words[k]) for _ in range(12)), "abc"[k])) for k in range(3) for _ in range(20)), strict=True)
+    raw = [t.encode() for t in texts]
+    off = np.concatenate(([0], np.cumsum([len(t) for t in raw])))
+    x = language.presence(np.frombuffer(b"".join(raw), np.uint8), off)
+    grams = [{t[i : i + k] for k in (1, 2, 3, 4) for i in range(len(t) - k + 1)} - {b" "} for t in raw]
+    assert all(abs(len(g) - row.sum()) <= 3 for g, row in zip(grams, x, strict=True))  # bins may collide
+    m = language.Model(x, list(labels), landmarks=24)
+    k = (x @ x.T) / np.sqrt(np.outer(x.sum(1), x.sum(1)))
+    pick = [i for c in "abc" for i in [j for j in range(60) if labels[j] == c][:8]]
+    v, u = np.linalg.eigh(k[np.ix_(pick, pick)].astype(float))
+    phi = np.hstack([k[:, pick] @ (u / np.sqrt(v)), np.ones((60, 1))])
+    y = np.array([[1.0 if v == c else -1.0 for c in "abc"] for v in labels])
+    w = np.linalg.lstsq(np.vstack([phi, np.sqrt(language.RIDGE) * np.eye(phi.shape[1])]), np.vstack([y, np.zeros((phi.shape[1], 3))]), rcond=None)[0]
+    assert np.allclose(m.scores(x), phi @ w, atol=2e-3)
+
+
 def test_pseudonyms(spark):
     text = "a 4111 1111 1111 1111 b 4111-1111-1111-1111 c 4111111111111112 d 1984-02-29 e 2001-02-30 f 10.0.0.1 g +1 (017) 555-7713 h a.b9@x.org i 123-45-6789 j DE89 3704 0044 0532 0130 00"
     df = spark.createDataFrame([(1, text), (2, text), (3, None), (4, ""), (5, "x" * 100_000 + " 10.0.0.1")], "doc_id long, text string").withColumn("n_found", F.lit(0))
