@@ -20,7 +20,7 @@ def words(t):
 
 def texts(spark, rows, extra=False):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    return df.withColumn("kept", F.lit(1)).withColumn("id", F.lit(2)).withColumn("block", F.lit(3)) if extra else df
+    return df.withColumn("kept", F.lit(1)).withColumn("id", F.lit(2)).withColumn("block", F.lit(3)).withColumn("a`b.c", F.lit(4)) if extra else df
 
 
 # ---------------------------------------------------------------- exact
@@ -51,9 +51,11 @@ def test_exact_dedup(spark, weak):
     assert sorted(map(tuple, got), key=repr) == brute_exact(EXACT)
 
 
-def test_exact_drop_copies(spark):
-    left = exact_dedup.drop_copies(texts(spark, EXACT, extra=True))
-    assert left.columns == ["doc_id", "text", "kept", "id", "block"]
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_drop_copies(spark, weak):
+    hash_of = (lambda m: F.unhex(F.lpad(F.hex(F.pmod(F.xxhash64(m), F.lit(2))), 2, "0"))) if weak else exact_dedup.content_hash
+    left = exact_dedup.drop_copies(texts(spark, EXACT, extra=True), hash_of=hash_of)
+    assert left.columns == ["doc_id", "text", "kept", "id", "block", "a`b.c"]
     want = collections.Counter((r[0]) for r in brute_exact(EXACT) if r[3])
     assert collections.Counter(r["doc_id"] for r in left.collect()) == want
     assert exact_dedup.exact_dedup(texts(spark, EXACT).limit(0)).count() == 0
@@ -151,7 +153,7 @@ def test_near_copies_leave_one(spark):
     rows = [(4, t), (2, t + " x"), (9, "y " + t), (1, "other words that nobody else has here"), (None, None), (3, None)]
     left = jaccard.drop_near_copies(texts(spark, rows, extra=True))
     assert sorted(map(repr, (x["doc_id"] for x in left.collect()))) == ["1", "2", "3", "None"]
-    assert left.columns == ["doc_id", "text", "kept", "id", "block"]
+    assert left.columns == ["doc_id", "text", "kept", "id", "block", "a`b.c"]
     assert jaccard.jaccard_join(left.limit(0)).count() == 0
 
 
