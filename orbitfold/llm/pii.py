@@ -20,13 +20,20 @@ from pyspark.sql import DataFrame
 from .common import ship, slices
 
 ROUNDS = 8
+#: Characters of an address that are permuted together.
+PIECE = 64
 KINDS = ("card", "iban", "ssn", "phone", "date", "ip", "email")
-_FIRST, _DAYS = datetime.date(1900, 1, 1).toordinal(), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
+
+#: Days of 1900 to 2099: those up to the 12th of a month, and the others. Only the first can be read in two orders.
+_DAYS = [datetime.date.fromordinal(d) for d in range(datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal())]
+_HALVES = [[d for d in _DAYS if (d.day > 12) == late] for late in (False, True)]
+_PLACE = {d: k for half in _HALVES for k, d in enumerate(half)}
 
 _ANY = re.compile(r"[0-9@]")
+#: What follows the local part of an address.
+_AT = re.compile(r"@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 _FIND = re.compile(
-    r"(?P<email>(?<![\w.+-])[^\W_](?:[\w.+-]{0,62}[^\W_])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"
-    r"|(?<![\w.])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
+    r"(?<![\w.])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
     r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-]))"
     r"|(?<![\w.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?!\w|\.[0-9])"
     r"|(?<![\w./-])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4})(?![\w/-]|\.[0-9])"
@@ -113,6 +120,21 @@ def _ends(kind: str, s: str) -> list[int]:
     return out
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Where mail addresses are: from each sign back over the local part, however long, so that each text is read once."""
+    out, last = [], 0
+    for m in _AT.finditer(text):
+        begin = m.start()
+        while begin > last and (text[begin - 1].isalnum() or text[begin - 1] in "_.+-"):
+            begin -= 1
+        while begin < m.start() and not text[begin].isalnum():
+            begin += 1
+        if begin < m.start() and text[m.start() - 1].isalnum():
+            out.append((begin, m.end()))
+        last = m.end()
+    return out
+
+
 def _ssn_ok(d: str) -> bool:
     return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
@@ -162,16 +184,13 @@ class Pseudonyms:
             for order in ("ymd",) if s[4] in "-/" else ("dmy", "mdy"):
                 p = [int(x) for x in re.split(r"[./-]", s)]
                 try:
-                    day = datetime.date(*(p[order.index(c)] for c in "ymd")).toordinal() - _FIRST
+                    day = datetime.date(*(p[order.index(c)] for c in "ymd"))
                 except ValueError:
                     continue
-                if not 0 <= day < _DAYS:
+                if day not in _PLACE:
                     return None
-                while True:
-                    day = self.move(kind + order, day, _DAYS)
-                    new = datetime.date.fromordinal(day + _FIRST)
-                    if order != "mdy" or new.day > 12:  # else it would be read the other way round
-                        break
+                half = _HALVES[day.day > 12]  # one domain for all notations, in which none changes the order it is read in
+                new = half[self.move(f"{kind}{day.day > 12}", _PLACE[day], len(half))]
                 text = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
                 return _refill(s, "".join(text[c] for c in order))
             return None
@@ -181,33 +200,57 @@ class Pseudonyms:
                 return None
             short = _iban_end(s)
             while True:  # walked past where the country's IBAN would be read in it
-                bban = "".join(c for c in flat[4:] if c.isdigit())
-                flat = flat[:4] + _refill(flat[4:], self._digits(kind + flat[:2], bban)) if bban else flat
+                bban = flat[4:]
+                flat = flat[:4] + self._mixed(kind + flat[:2], bban)
                 check = 98 - _mod97(flat[:2] + "00" + flat[4:])
                 it = iter(f"{flat[:2]}{check:02d}{flat[4:]}")
                 new = "".join(c if c == " " else next(it) for c in s)
-                if not short or not bban or _mod97(new[:short].replace(" ", "")) != 1:
+                if not short or _mod97(new[:short].replace(" ", "")) != 1:
                     return new
         local, _, domain = s.partition("@")  # an address: letters and digits of the local part
-        size = [26 if c.isascii() and c.isalpha() else 10 if c in "0123456789" else 1 for c in local]
-        base = [ord("a") if c.islower() else ord("A") if n == 26 else ord("0") if n == 10 else ord(c) for c, n in zip(local, size, strict=True)]
-        x = n = 0
-        n = 1
-        for c, b, k in zip(local, base, size, strict=True):
-            x, n = x * k + (ord(c) - b if k > 1 else 0), n * k
-        x = self.move(f"{kind}|{domain.lower()}|{','.join(map(str, size))}", x, n)
-        out = []
+        return self._mixed(f"{kind}|{domain.lower()}", local) + "@" + domain
+
+    def _mixed(self, kind: str, s: str) -> str:
+        """Digits go to digits, letters a-z to such of the same case; the domain is that of the places of both.
+
+        Strings of more than PIECE characters are permuted piece by piece, so that their length costs no more than itself.
+        """
+        if len(s) > PIECE:
+            return "".join(self._mixed(f"{kind}|{i}", s[i : i + PIECE]) for i in range(0, len(s), PIECE))
+        size = [26 if c.isascii() and c.isalpha() else 10 if c in "0123456789" else 1 for c in s]
+        base = [ord("a") if k == 26 and c.islower() else ord("A") if k == 26 else ord("0") if k == 10 else ord(c) for c, k in zip(s, size, strict=True)]
+        x, n = 0, 1
+        for c, b, k in zip(s, base, size, strict=True):
+            x, n = x * k + (ord(c) - b), n * k
+        x, out = self.move(f"{kind}|{','.join(map(str, size))}", x, n), []
         for b, k in zip(reversed(base), reversed(size), strict=True):
             x, r = divmod(x, k)
             out.append(chr(b + r))
-        return "".join(reversed(out)) + "@" + domain
+        return "".join(reversed(out))
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, begin, end) of each value in the original."""
         if not _ANY.search(text):
             return text, []
         out, at, spans, pos = [], 0, [], 0
-        while m := _FIND.search(text, pos):
+        mails = iter(addresses(text) if "email" in self.kinds else ())
+        mail = next(mails, None)
+        m = _FIND.search(text)
+        while m or mail:
+            while m and m.start() < pos:
+                m = _FIND.search(text, pos)
+            if mail and mail[0] < pos:
+                mail = next(mails, None)
+                continue
+            if mail and (not m or mail[0] < m.end()):  # an address takes in numbers that overlap it
+                begin, end = mail
+                out += [text[at:begin], self.value("email", text[begin:end])]
+                at = pos = end
+                spans.append(("email", begin, end))
+                mail = next(mails, None)
+                continue
+            if not m:
+                break
             kind = m.lastgroup
             new = None
             for n in _ends(kind, m[0]) if kind in self.kinds else ():
@@ -217,10 +260,12 @@ class Pseudonyms:
                 pos = m.start() + 1
                 while pos < len(text) and text[pos - 1] in "0123456789" and text[pos] in "0123456789":
                     pos += 1
+                m = _FIND.search(text, pos)
                 continue
             out += [text[at : m.start()], new]
             at = pos = m.start() + n
             spans.append((kind, m.start(), at))
+            m = _FIND.search(text, pos)
         out.append(text[at:])
         return "".join(out), spans
 
@@ -229,7 +274,10 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", id_col: st
     """Per document: id, text with pseudonyms, n_found, and n_<kind> for each kind.
 
     Null text stays null and has nothing found. Values that do not validate stay as they are. Repeated rows each give a
-    row; other columns are ignored; an empty table gives an empty result. ``forward=False`` restores the texts.
+    row; other columns are ignored; an empty table gives an empty result; very long texts are read whole, in linear time.
+    ``forward=False`` restores the texts. A date has one pseudonym in all notations, and keeps whether it is after the
+    12th of its month; letters of account numbers and addresses become other letters. Numbers without any separator are
+    taken for cards only, as nine digits alone do not tell what they are.
     """
     ship(docs.sparkSession)
 

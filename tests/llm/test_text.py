@@ -182,6 +182,77 @@ def test_pseudonyms(spark):
     assert all(p.invert("t", p.permute("t", x, 97), 97) == x for x in range(97))
 
 
+def brute_find(text):
+    """Values of each kind by testing all substrings of the plain notations, longest first, from the left."""
+    import datetime
+
+    def kind(s):
+        d = re.sub("[ -]", "", s)
+        if re.fullmatch(r"[0-9](?:[ -]?[0-9]){12,18}", s) and len({*d}) > 1 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0:
+            return "card"
+        if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", s):
+            try:
+                return "date" if 1900 <= datetime.date.fromisoformat(s).year < 2100 else None
+            except ValueError:
+                return None
+        if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", s) and all(int(p) < 256 and str(int(p)) == p for p in s.split(".")):
+            return "ip"
+        return None
+
+    out, at = [], 0
+    for m in re.finditer(r"[0-9.-]*[0-9]", text):
+        if m.start() >= at and (k := kind(m[0])):
+            out.append((k, m.start(), m.end()))
+            at = m.end()
+    return out
+
+
+def test_finding_equals_brute_force():
+    r, p = random.Random(8), pii.Pseudonyms(b"k", kinds=("card", "date", "ip"))
+    luhn = lambda d: d + str(-pii.luhn(d + "0") % 10)
+    kinds = [lambda: luhn("".join(r.choice("0123456789") for _ in range(r.randint(12, 18)))), lambda: f"{r.randint(1890, 2105)}-{r.randint(0, 14):02d}-{r.randint(0, 33):02d}", lambda: ".".join(str(r.randint(0, 300)) for _ in range(4)), lambda: str(r.randint(0, 10**16)), lambda: r.choice("abc xyz")]
+    for _ in range(400):
+        text = " x ".join(r.choice(kinds)() for _ in range(12))
+        assert p.replace(text)[1] == brute_find(text)
+
+
+def test_one_day_has_one_pseudonym():
+    key, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", forward=False)
+    seen = set()
+    for y, m, d in ((1984, 2, 29), (2001, 5, 12), (1999, 12, 31), (2030, 1, 1)):
+        forms = [f"{y}-{m:02d}-{d:02d}", f"{y}/{m:02d}/{d:02d}", f"{d:02d}.{m:02d}.{y}", f"{d:02d}/{m:02d}/{y}"] + [f"{m:02d}/{d:02d}/{y}"] * (d > 12)
+        new = [key.replace(t)[0] for t in forms]
+        y2, m2, d2 = new[0].split("-")
+        assert new == [f"{y2}-{m2}-{d2}", f"{y2}/{m2}/{d2}", f"{d2}.{m2}.{y2}", f"{d2}/{m2}/{y2}"] + [f"{m2}/{d2}/{y2}"] * (d > 12)
+        assert [back.replace(t)[0] for t in new] == forms
+        seen.add(new[0])
+    assert len(seen) == 4
+
+
+def test_long_addresses_and_account_letters():
+    key, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", forward=False)
+    for local in ("a" * 70, "x1." * 500 + "y", "a", "z" * 100_000):
+        t = f"mail {local}@example.org, ..{local}@example.org and _x@y @z q@b 10.0.0.1@c.de"
+        new, spans = key.replace(t)
+        assert [k for k, _, _ in spans] == ["email"] * 3 and f" {local}@" not in new and back.replace(new)[0] == t
+    t = "GB82 WEST 1234 5698 7654 32"
+    new = key.replace(t)[0]
+    assert new != t and "WEST" not in new and pii._mod97(new.replace(" ", "")) == 1 and back.replace(new)[0] == t
+    import time
+
+    began = time.perf_counter()
+    for t in ("a" * 300_000, "a@" * 150_000, "a." * 150_000, "@a." * 100_000, "1 " * 150_000):
+        key.replace(t)
+    assert time.perf_counter() - began < 10
+
+
+def test_pseudonyms_of_empty_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "on 1984-02-29"), (1, "on 1984-02-29"), (None, "on 1984-02-29")], "doc_id long, text string")
+    got = pii.pseudonymise(df, b"k").collect()
+    assert len(got) == 3 and len({r["text"] for r in got}) == 1 and got[0]["n_date"] == 1
+    assert pii.pseudonymise(df.limit(0), b"k").count() == 0
+
+
 def test_values_with_neighbours():
     """A number that is followed by other digits or capitals is still found, alike, and restored."""
     key, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", forward=False)
