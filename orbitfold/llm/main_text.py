@@ -1,11 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to one line per block element; lines inside menus, headers, footers, sidebars, notices, adverts,
-forms and comments count as empty, and so do those outside an ``article`` (or ``main``) element if there is one. Text
-lengths are summed over a sliding window of lines; a surge is where the sum rises from nothing, a dive where it falls
-back to nothing; the text between them is kept, whole, however short. A nested article belongs to the article or main
-around it. Of several articles, or of several spans of a page without one, those go that are mostly links. Words of
-class and id alone do not exclude an article around which they stand, nor all text of a page.
+Markup is stripped to lines: one per block element, with empty lines where elements begin and end, two for those that
+hold others. Lines inside menus, headers, footers, sidebars, notices, adverts, forms and comments are left out. The
+lengths of the text outside links are summed over a sliding window of lines. A surge is where the sum rises from nothing
+and reaches SURGE before the dive, where it falls back to nothing; from the first surge to the last dive the text is
+kept, whole, however short its lines, with the headlines right before it. What does not surge, a line of navigation or
+of contacts that no markup names, stays outside, and so does a span that is mostly links. On a page where nothing
+surges, all spans are kept. An ``article`` (or ``main``) element bounds the lines where there is one, and then the sum
+need not reach anything; a nested article belongs to the one around it, and of several those go that are mostly links.
+Words of class and id alone do not exclude an article around which they stand, nor all text of a page.
 """
 
 from __future__ import annotations
@@ -13,14 +16,15 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ship
 
-#: Lines in a window, fixed by the method; a gap of as many empty lines ends a block of text.
-WINDOW = 3
+#: Lines in a window, fixed by the method; a gap of as many empty lines ends a block of text. Characters of a surge.
+WINDOW, SURGE = 3, 80
 #: An article or span with more than this share of its text in links is a list of links beside the main text.
 LINKS = 0.5
 
@@ -30,6 +34,9 @@ SILENT = frozenset("script style noscript template svg math canvas iframe object
 ASIDE = frozenset("nav aside form footer menu dialog button fieldset".split())
 #: Elements that begin and end a block.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+#: Those that hold other blocks: their edges are two lines.
+HOLDER = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header html main menu nav ol section table ul".split())
+HEADLINES = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role that tell what is not the article.
 NOT_MAIN = frozenset("ad ads adv advert adverts advertisement advertisements advertising adbox banner banners sponsor sponsored sponsors promo promos promotion nav navbar navigation navigate menu menus breadcrumb breadcrumbs header masthead footer sidebar sidebars aside rail cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist discussion disqus replies reply respond widget widgets pagination pager skip contentinfo complementary search toolbar copyright".split())
@@ -80,34 +87,99 @@ def _part(tag: str, attrs: str, in_article: bool, classes: bool) -> int:
     return out
 
 
-def lines(page: str, classes: bool = True) -> list[tuple[str, bool, int, int]]:
-    """(text, whether it may be main text, number of the outermost article element around it or 0, characters in links) of each block, in page order."""
-    out: list[tuple[str, bool, int, int]] = []
-    stack: list[tuple[str, int, int, bool]] = []  # open elements: name, part of the innermost and those around it, article, link
+class Line(NamedTuple):
+    """A block's text, whether it may be main text, the number of the outermost article element around it or 0, its
+    characters but spaces, those in links, the line ends before it, and whether it is a headline."""
+
+    text: str
+    ok: bool
+    article: int
+    size: int
+    links: int
+    gap: int
+    headline: bool
+
+
+class _Open:
+    """The open elements, with the places of each name, of scopes and of blocks, so that nothing is ever searched."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int, bool]] = []  # name, part of it and those around it, article, inside a link
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.blocks: list[int] = []
+
+    def top(self) -> tuple[str, int, int, bool]:
+        return self.stack[-1] if self.stack else ("", MAIN, 0, False)
+
+    def push(self, tag: str, part: int, article: int, link: bool) -> None:
+        k = len(self.stack)
+        self.stack.append((tag, part, article, link))
+        self.at.setdefault(tag, []).append(k)
+        if tag in SCOPE:
+            self.scopes.append(k)
+        if tag in BLOCK:
+            self.blocks.append(k)
+
+    def cut(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag = self.stack.pop()[0]
+            self.at[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, names, through: bool = False) -> int | None:
+        """The place of the innermost element of these names that is open in this scope, or in any if ``through``."""
+        k = -1
+        for n in names:
+            places = self.at.get(n)
+            if places and places[-1] > k:
+                k = places[-1]
+        return k if k >= 0 and (through or not self.scopes or self.scopes[-1] <= k) else None
+
+
+class _Ends:
+    """Where elements without text end; each is searched on from where it was last found, so a page is read once a name."""
+
+    def __init__(self, page: str):
+        self.page, self.found = page, {}
+
+    def find(self, pattern: str, at: int):
+        if pattern not in self.found or (self.found[pattern] and self.found[pattern].start() < at):
+            self.found[pattern] = re.compile(pattern, re.I).search(self.page, at)
+        return self.found[pattern]
+
+
+def lines(page: str, classes: bool = True) -> list[Line]:
+    """The blocks of a page with text, in page order."""
+    out: list[Line] = []
+    elements, ends = _Open(), _Ends(page)
     held: list[str] = []
     linked: list[str] = []
-    n_articles, at = 0, 0
+    n_articles = at = gap = 0
 
     def hold(text: str):
         held.append(text)
-        if stack and stack[-1][3]:
+        if elements.top()[3]:
             linked.append(text)
 
     def flush():
+        nonlocal gap
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
-            links = len(_SPACE.sub(" ", html.unescape("".join(linked))).strip()) if linked else 0
+            links = len(_SPACE.sub("", html.unescape("".join(linked)))) if linked else 0
             held.clear()
             linked.clear()
             if text:
-                _, part, article, _ = stack[-1] if stack else ("", MAIN, 0, False)
-                out.append((text, part == MAIN, article, links))
+                _, part, article, _ = elements.top()
+                out.append(Line(text, part == MAIN, article, len(text.replace(" ", "")), links, gap, any(elements.at.get(h) for h in HEADLINES)))
+                if part == MAIN:
+                    gap = 0
 
-    silent = None
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if silent is None and m.start() > at:
+    while m := _TOKEN.search(page, at):
+        if m.start() > at:
             hold(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
@@ -118,20 +190,19 @@ def lines(page: str, classes: bool = True) -> list[tuple[str, bool, int, int]]:
         if m[1]:  # closing
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if any(x[0] in BLOCK for x in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPE and tag not in SCOPE:
-                    break
+            k = elements.last((tag,), tag in SCOPE)
+            if k is not None:
+                if elements.blocks and elements.blocks[-1] >= k:
+                    flush()
+                if tag in BLOCK and elements.stack[k][1] == MAIN:
+                    gap += 1 + (tag in HOLDER)
+                elements.cut(k)
             continue
         if tag in SILENT:
             if tag in VOID or m[0].endswith("/>"):
                 continue
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if tag == "head" and (body := re.compile(r"<body\b", re.I).search(page, at)) and (not end or body.start() < end.start()):
+            end = ends.find(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", at)
+            if tag == "head" and (body := ends.find(r"<body\b", at)) and (not end or body.start() < end.start()):
                 at = body.start()
             else:
                 at = end.end() if end else (len(page) if tag != "head" else at)
@@ -145,71 +216,87 @@ def lines(page: str, classes: bool = True) -> list[tuple[str, bool, int, int]]:
             continue
         if tag in BLOCK:
             flush()
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPE:
-                    break
-        elif tag in BLOCK:  # a block closes an open paragraph
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+        closes = CLOSES.get(tag, ("p",) if tag in BLOCK else ())  # a block closes an open paragraph
+        k = elements.last(closes)
+        if k is not None:
+            elements.cut(k)
         if m[0].endswith("/>") and tag not in BLOCK:
             continue
-        _, part, article, link = stack[-1] if stack else ("", MAIN, 0, False)
+        _, part, article, link = elements.top()
         part = max(part, _part(tag, m[3] or "", article > 0, classes))
         if tag in ("article", "main"):
             part = MAIN if part == AROUND else part
             if part == MAIN and not article:
                 n_articles += 1
                 article = n_articles
-        stack.append((tag, part, article, link or tag == "a"))
-    if at < len(page) and silent is None:
+        if tag in BLOCK and part == MAIN:
+            gap += 1 + (tag in HOLDER)
+        elements.push(tag, part, article, link or tag == "a")
+    if at < len(page):
         hold(page[at:])
     flush()
     return out
 
 
-def _texts(parts: dict) -> set:
-    """The keys of (characters, of these in links) that are not mostly links; all if there is no other."""
-    return {k for k, (n, links) in parts.items() if links <= LINKS * n} or set(parts)
-
-
 def main_text(page: str) -> str:
     """The article's blocks, joined by line feeds; empty if there is no text."""
-    return _blocks(lines(page)) or _blocks(lines(page, classes=False))
-
-
-def _blocks(found: list[tuple[str, bool, int, int]]) -> str:
-    inside: dict[int, tuple[int, int]] = {}
-    for text, ok, article, links in found:
-        if ok and article:
-            n, k = inside.get(article, (0, 0))
-            inside[article] = n + len(text), k + links
-    whole = _texts(inside)
-    size = [len(t) if ok and (not inside or article in whole) else 0 for t, ok, article, _ in found]
-    window = [sum(size[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(size))] + [0]
-    spans, surge = {}, None
-    for i, w in enumerate(window):
-        if w and surge is None:
-            surge = i
-        elif not w and surge is not None:
-            spans[surge, i] = sum(size[surge:i]), sum(found[k][3] for k in range(surge, i) if size[k])
-            surge = None
-    kept = spans if inside else _texts(spans)
-    return "\n".join(found[i][0] for start, dive in spans if (start, dive) in kept for i in range(start, dive) if size[i])
+    found = lines(page)
+    return "\n".join(_main(found) or (_main(lines(page, classes=False)) if found else []))
+
+
+def _main(found: list[Line]) -> list[str]:
+    found = [x for x in found if x.ok]
+    inside: dict[int, list[int]] = {}
+    for x in found:
+        if x.article:
+            part = inside.setdefault(x.article, [0, 0])
+            part[0] += x.size
+            part[1] += x.links
+    if inside:
+        whole = {k for k, (n, links) in inside.items() if links <= LINKS * n} or set(inside)
+        return [x.text for x in found if x.article in whole]
+    spans = surges([x.size - x.links for x in found], [x.gap for x in found])
+    parts = [(i, j, peak) for i, j, peak in spans if sum(x.links for x in found[i:j]) <= LINKS * sum(x.size for x in found[i:j])]
+    high = [k for k, (_, _, peak) in enumerate(parts) if peak >= SURGE]
+    if high:
+        parts = parts[high[0] : high[-1] + 1]
+        begin = parts[0][0]
+        while begin and found[begin - 1].headline and not found[begin - 1].links:
+            begin -= 1
+        parts[0] = (begin, *parts[0][1:])
+    return [x.text for i, j, _ in parts for x in found[i:j]] or [x.text for x in found]
+
+
+def surges(sizes: list[int], gaps: list[int]) -> list[tuple[int, int, int]]:
+    """(first line, line after the last, greatest sum over WINDOW lines) of each run of lines with no dive inside.
+
+    ``gaps`` are the line ends before each line: all but the first are empty lines.
+    """
+    out: list[tuple[int, int, int]] = []
+    window: list[int] = []
+    start, last, peak = None, 0, 0
+    for i, (size, gap) in enumerate(zip(sizes, gaps, strict=True)):
+        for n in [0] * min(max(gap - 1, 0), WINDOW) + [size]:
+            window = [*window[1 - WINDOW :], n]
+            if not sum(window) and start is not None:
+                out.append((start, last + 1, peak))
+                start = None
+        if size:
+            start = i if start is None else start
+            last = i
+        if start is not None:
+            peak = max(peak if start != i else 0, sum(window))
+    if start is not None:
+        out.append((start, last + 1, peak))
+    return out
 
 
 def extract(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Rows (page_id, url, text, n_chars): the main text of every whole page, and its code points.
 
-    Null and empty pages have an empty text; repeated rows each give a row; other columns are ignored; broken markup
-    is read as browsers do, roughly, and never fails.
+    Null and empty pages have an empty text; repeated rows each give a row; other columns are ignored; an empty table
+    gives an empty result. Broken markup is read as browsers do, roughly, and never fails; very long pages are read
+    whole, in linear time.
     """
     ship(pages.sparkSession)
 

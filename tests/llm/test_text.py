@@ -311,6 +311,57 @@ def test_main_text_inside_named_layouts():
     assert t("<div class=menu>Home</div><p>Text</p><footer>f</footer>") == "Text" and t("<nav>Home</nav>") == ""
 
 
+def test_main_text_without_marks():
+    """The distribution of lengths alone finds the article: no element or class names it, or what is not the article."""
+    t = main_text.main_text
+    body = ["word " * 60, "short", "more text " * 20, "end"]
+    want = "\n".join(["Title", *(x.strip() for x in body)])
+    inner = "<h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in body)
+    for page in (
+        f"<div>Home News</div><div>{inner}</div><div>Contact us</div>",
+        f"<body><table><tr><td>Home<td>News</table><div><div>{inner}</div></div><ul><li>About<li>Terms</ul>",
+        f"<div><a href=a>Home</a> <a href=b>News</a></div>{inner}<div><div><p>Call 123</p></div></div>",
+        f"<div>Home</div><div><h1>Title</h1></div><div>{inner.removeprefix('<h1>Title</h1>')}</div><div>x</div>",
+        f"<div>Home</div><div><h1>Title</h1><p>{body[0]}</p><div><div>short</div></div><p>{body[2]}<p>end</div><div>x</div>",
+    ):
+        assert t(page) == want, page
+    assert t("<div>Home News</div><div><p>A few words</p></div>") == "Home News\nA few words"
+
+
+def test_main_text_by_brute_force():
+    """Spans and their greatest sums against windows over every line, empty ones written out."""
+    r = random.Random(9)
+    for _ in range(300):
+        n = r.randint(0, 12)
+        sizes, gaps = [r.choice((0, 0, 5, 90)) for _ in range(n)], [r.randint(0, 6) for _ in range(n)]
+        rows = [(None, 0)] * 3
+        for i in range(n):
+            rows += [(None, 0)] * max(gaps[i] - 1, 0) + [(i, sizes[i])]
+        sums = [sum(s for _, s in rows[max(0, k - 2) : k + 1]) for k in range(len(rows))] + [0]
+        want, k = [], 0
+        while k < len(sums):
+            if sums[k]:
+                j = next(x for x in range(k, len(sums)) if not sums[x])
+                own = [rows[x][0] for x in range(k, min(j, len(rows))) if rows[x][1]]
+                want.append((own[0], own[-1] + 1, max(sums[x] for x in range(k, j) if x < len(rows) and rows[x][0] is not None)))
+                k = j
+            k += 1
+        assert main_text.surges(sizes, gaps) == want
+
+
+def test_main_text_takes_linear_time(spark):
+    import time
+
+    for page in ("<span>" * 170_000, "<span>" * 60_000 + "</b>" * 60_000, "<head>" * 170_000, "<p>" * 300_000, "<span>" * 80_000 + "<li>" * 80_000, "<div>x" * 100_000, "<script>" * 100_000, "<a b='" * 100_000, "<!--" * 200_000):
+        began = time.perf_counter()
+        main_text.main_text(page)
+        assert time.perf_counter() - began < 4, page[:40]
+    assert main_text.main_text("<script>if (a<b && c=='x') {}</script><p>it's") == "it's"
+    df = spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None)], "page_id long, url string, html string")
+    assert sorted(map(str, main_text.extract(df).collect())) == ["Row(page_id=1, url='u', text='x', n_chars=1)"] * 2 + ["Row(page_id=None, url=None, text='', n_chars=0)"]
+    assert main_text.extract(df.limit(0)).count() == 0
+
+
 def test_queries_and_pipeline(spark):
     """Every query runs on the smallest tables; the pipeline equals its stages by brute force."""
     import corpus_pipeline as cp
