@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings, keeping the first: windows of equal rank in suffix order.
+"""Removal of repeated byte strings, keeping the first: longest previous factors.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier in the corpus, that is, if the longest
 previous factor of some suffix before it is at least LENGTH. A suffix array of the whole corpus would be shuffled many
@@ -9,13 +9,15 @@ strings, and equal windows have equal ones, however far apart they are.
 2. Each block sends its minimizers' hashes, with counts, to buckets; buckets answer which occur more than once.
 3. Blocks send, for these alone, the bytes of the windows around them. What repeats inside a block is settled there, so
    a passage that a third of all documents have is sent once for each block. Windows around a very frequent minimizer
-   are sent one by one to buckets of their own content, so no bucket depends on one minimizer.
+   are sent one by one to buckets of their own content, so no bucket depends on one minimizer; with many blocks these
+   are settled in groups of blocks first, and only the first of each group goes on.
 4. In a bucket, equal contexts are settled by comparing their bytes. The rest get a suffix array to depth LENGTH by
-   prefix doubling of ranks; a position that is not the least of its rank has an earlier match. This answers the test
-   of the longest previous factor against LENGTH; the factors and the smaller positions themselves are not computed.
+   prefix doubling of ranks. In suffix order the previous and the next smaller position are found, the longer common
+   prefix with these two is the longest previous factor (to LENGTH), and where it is LENGTH the window has a match.
 5. The matched ranges go back to their blocks, which remove them.
 
-Hashes only bring candidates together: equal strings always meet, and every match rests on compared bytes or ranks.
+Hashes only bring candidates together: equal windows always have the same minimizer, as it depends on their bytes
+alone, and every match rests on compared bytes or ranks.
 """
 
 from __future__ import annotations
@@ -30,12 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, materialize, mix, ship, slices, utf8_view
+from .common import U64, Rolling, integer_id, materialize, mix, ship, slices, utf8_view
 
 LENGTH, K = 100, 32
 BLOCK = 2 << 20
 #: Occurrences from which a minimizer's windows are dealt by their own content.
 HOT = 2000
+#: Blocks whose very frequent windows are settled together, and bytes of text for a bucket.
+GROUP, BUCKET_BYTES = 4096, 8 << 20
+#: Bits of a place in a block; the minimizer is the least by the other bits of its hash, then the first.
+PLACE = U64(32)
 LAST = 2**63 - 1  # the id that null stands for
 
 
@@ -48,15 +54,18 @@ def unpack(b: bytes) -> bytes:
 
 
 def minimizers(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = K):
-    """(position, hash, first window, last window) of each minimizer; windows never cross texts."""
+    """(hash, occurrences, first window, last window) of each run of windows with one minimizer, and the rolling hashes.
+
+    Windows never cross texts. A run may hold several occurrences of its minimizer, as in a periodic text; so a long
+    stretch of one period is one run.
+    """
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, np.zeros(0, U64), none, none, Rolling(data)
+        return np.zeros(0, U64), none, none, none, Rolling(data)
     roll = Rolling(data)
     h = roll.windows(k)
-    bits = U64(max(1, int(n).bit_length()))
-    v = ((h >> bits) << bits) | np.arange(len(h), dtype=U64)
+    v = ((h >> PLACE) << PLACE) | np.arange(len(h), dtype=U64)
     width, span = 1, length - k + 1
     while 2 * width <= span:
         v = np.minimum(v[: len(v) - width], v[width:])
@@ -69,11 +78,15 @@ def minimizers(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int =
     np.add.at(valid, off[:-1][long], 1)
     np.add.at(valid, off[:-1][long] + size[long] - length + 1, -1)
     start = np.flatnonzero(np.cumsum(valid)[: len(v)] > 0)
-    at = (v[start] & ((U64(1) << bits) - U64(1))).astype(np.int64)
-    new = np.concatenate(([True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)))
+    if not len(start):
+        return np.zeros(0, U64), none, none, none, roll
+    at = (v[start] & ((U64(1) << PLACE) - U64(1))).astype(np.int64)
+    key = h[at]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)))
+    moved = np.concatenate(([0], (at[1:] != at[:-1]) & ~new[1:])).astype(np.int64)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
-    return at[first], h[at[first]], start[first], start[last], roll
+    return key[first], 1 + np.add.reduceat(moved, first), start[first], start[last], roll
 
 
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -107,18 +120,95 @@ def runs(windows: np.ndarray, length: int) -> np.ndarray:
     return np.stack([begin, end], 1).astype(np.int32)
 
 
+def smaller_before(x: np.ndarray) -> np.ndarray:
+    """Of each value the place of the nearest smaller one before it, or -1, by jumping over those that are not."""
+    n = len(x)
+    out = np.arange(-1, n - 1)
+    todo = np.arange(n)
+    while len(todo):
+        to = out[todo]
+        todo = todo[(to >= 0) & (x[np.maximum(to, 0)] >= x[todo])]
+        out[todo] = out[out[todo]]
+    return out
+
+
+class Suffixes:
+    """Ranks of the suffixes of some bytes by their first 8, 16, 32, 64 bytes, for comparing them to depth LENGTH."""
+
+    def __init__(self, data: np.ndarray, length: int):
+        self.length, x, width = length, np.concatenate((data, np.zeros(128, np.uint8))).astype(U64), 1
+        while width < 8:
+            x = (x[: len(x) - width] << U64(8 * width)) | x[width:]
+            width *= 2
+        self.words, self.ranks = x, {}
+        rank = np.unique(x, return_inverse=True)[1].astype(np.uint32)
+        while True:
+            self.ranks[width] = rank
+            if 2 * width > length:
+                break
+            m = len(rank) - width
+            rank = np.unique((rank[:m].astype(U64) << U64(32)) | rank[width:], return_inverse=True)[1].astype(np.uint32)
+            width *= 2
+        self.width = width
+
+    def depth(self, at: np.ndarray) -> np.ndarray:
+        """The rank of each suffix by its first LENGTH bytes."""
+        r = self.ranks[self.width]
+        return (r[at].astype(U64) << U64(32)) | r[at + self.length - self.width]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bytes the suffixes have in common, LENGTH at most."""
+        n = np.zeros(len(a), np.int64)
+        for w in sorted(self.ranks, reverse=True):
+            while True:  # a width may fit several times
+                fits = np.flatnonzero(n + w <= self.length)
+                fits = fits[self.ranks[w][a[fits] + n[fits]] == self.ranks[w][b[fits] + n[fits]]]
+                n[fits] += w
+                if not len(fits) or 2 * w <= self.length:
+                    break
+        differ = self.words[a + n] ^ self.words[b + n]
+        for k in range(8):  # leading bytes of the word that are equal
+            n += (differ >> U64(56 - 8 * k)) == 0
+        return np.minimum(n, self.length)
+
+
+def previous_factors(suffixes: Suffixes, at: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The longest previous factor, LENGTH at most, of each suffix ``at``, whose position is (document, start).
+
+    In suffix order the earlier suffix with the longest common prefix is the nearest one before or after that has a
+    smaller position. Suffixes at one position are no matches of each other.
+    """
+    by_place = np.lexsort((start, doc))
+    d, s = doc[by_place], start[by_place]
+    place = np.empty(len(at), np.int64)
+    place[by_place] = np.cumsum(np.concatenate(([0], (d[1:] != d[:-1]) | (s[1:] != s[:-1]))).astype(np.int64)) if len(at) else 0
+    order = np.lexsort((place, suffixes.depth(at)))
+    a, x = at[order], place[order]
+    lpf = np.zeros(len(at), np.int64)
+    before, after = smaller_before(x), len(x) - 1 - smaller_before(x[::-1])[::-1]
+    for near in (before, after):
+        has = np.flatnonzero((near >= 0) & (near < len(x)))
+        lpf[has] = np.maximum(lpf[has], suffixes.common(a[has], a[near[has]]))
+    out = np.empty(len(at), np.int64)
+    out[order] = lpf
+    return out
+
+
 class Contexts:
-    """Windows around minimizers: key, hash of the bytes, document, start in it, windows, block, place in the block, bytes."""
+    """Windows around minimizers: key, hash of the bytes, document, start in it, windows, block's place, occurrences.
+
+    The bytes of each are at ``begin`` of ``data``, one after the other unless places are given.
+    """
 
-    HEAD = np.dtype([("key", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<u4"), ("at", "<i4")])
+    HEAD = np.dtype([("key", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<u4"), ("at", "<i4"), ("w", "<u4")])
 
-    def __init__(self, head: np.ndarray, data: np.ndarray, length: int):
+    def __init__(self, head: np.ndarray, data: np.ndarray, length: int, begin: np.ndarray | None = None):
         self.head, self.data, self.length = head, data, length
         self.size = head["n"].astype(np.int64) + length - 1
-        self.begin = np.cumsum(self.size) - self.size
+        self.begin = np.cumsum(self.size) - self.size if begin is None else begin
 
-    def settle(self) -> tuple[np.ndarray, np.ndarray]:
-        """Rows by (key, hash, size, document, start), and which of them equal an earlier row."""
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by (key, hash, size, document, start), the row that each equals first, and which of them are later than it."""
         h = self.head
         order = np.lexsort((h["start"], h["doc"], h["n"], h["hash"], h["key"]))
         k, p = order[1:], order[:-1]
@@ -130,40 +220,26 @@ class Contexts:
         first = np.flatnonzero(~same)
         lead = order[first[np.cumsum(~same) - 1]] if len(order) else order
         later = same & ((h["doc"][order] != h["doc"][lead]) | (h["start"][order] != h["start"][lead]))
-        return order, same, later
+        return order, lead, later
 
     def earlier(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, window) of each window of ``rows`` that an earlier window among these equals.
-
-        Ranks by prefix doubling order all suffixes by their first LENGTH bytes.
-        """
-        size, length = self.size[rows], self.length
-        data = gather(self.data, self.begin[rows], size)
-        n = np.maximum(self.head["n"][rows].astype(np.int64), 0)
+        """(row, window) of each window of ``rows`` whose longest previous factor among these is LENGTH."""
+        size = self.size[rows]
+        n = self.head["n"][rows].astype(np.int64)
         begin = np.cumsum(size) - size
         which = np.repeat(np.arange(len(rows)), n)
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        window = begin[which] + inside
-        x = np.concatenate((data, np.zeros(128, np.uint8))).astype(U64)
-        width = 1
-        while width < 8:
-            x = (x[: len(x) - width] << U64(8 * width)) | x[width:]
-            width *= 2
-        rank = np.unique(x, return_inverse=True)[1].astype(U64)
-        while 2 * width <= length:
-            m = len(rank) - width
-            rank = np.unique((rank[:m] << U64(32)) | rank[width:], return_inverse=True)[1].astype(U64)
-            width *= 2
-        rank = (rank[window] << U64(32)) | rank[window + length - width]
-        doc, start = self.head["doc"][rows][which], self.head["start"][rows].astype(np.int64)[which] + inside
-        order = np.lexsort((start, doc, rank))  # suffix order, equal strings by position
-        r, d, s = rank[order], doc[order], start[order]
-        head = np.concatenate(([True], r[1:] != r[:-1]))
-        least = np.flatnonzero(head)[np.cumsum(head) - 1]
-        late = order[(d != d[least]) | (s != s[least])]
+        suffixes = Suffixes(gather(self.data, self.begin[rows], size), self.length)
+        lpf = previous_factors(suffixes, begin[which] + inside, self.head["doc"][rows][which], self.head["start"][rows].astype(np.int64)[which] + inside)
+        late = np.flatnonzero(lpf >= self.length)
         return rows[which[late]], inside[late]
 
 
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ..., n values for each row."""
+    return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _blocks(block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
@@ -171,7 +247,7 @@ def _blocks(block: int):
             data, off = utf8_view(b.column(1))
             ids = b.column(0).fill_null(LAST).to_numpy(zero_copy_only=False).astype("<i8")
             nulls = b.column(0).is_null().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | n], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([nulls.tobytes()], pa.binary()), pa.array([off.astype("<i8").tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], ["block", "ids", "nulls", "off", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | n], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([nulls.tobytes()], pa.binary()), pa.array([off.astype("<i8").tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()), pa.array([len(data)], pa.int64())], ["block", "ids", "nulls", "off", "data", "size"])
             n += 1
 
     return run
@@ -195,33 +271,34 @@ def _send(buckets: int, length: int, k: int):
         for b in batches:
             for i in range(b.num_rows):
                 _, off, data = _load(b, i)
-                h, n = np.unique(minimizers(data, off, length, k)[1], return_counts=True)
+                h, n = minimizers(data, off, length, k)[:2]
+                h, which = np.unique(h, return_inverse=True)
+                n = np.minimum(np.bincount(which, n, len(h)), 2**31)
                 dealt = _deal(h, buckets)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in dealt], pa.int32()), pa.array([b.column(0)[i].as_py()] * len(dealt), pa.int64()), pa.array([h[p].tobytes() + n[p].astype("<u4").tobytes() for _, p in dealt], pa.binary())], ["bucket", "block", "held"])
 
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """The other columns' values of all rows of one bucket after another; rows come sorted by bucket."""
+def _by_key(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The other columns' values of all rows of one key, the first ``width`` columns, after another; rows come sorted by it."""
     now, held = None, []
     for b in batches:
-        columns = [c.to_pylist() for c in b.columns]
-        for x in zip(*columns, strict=True):
-            if x[0] != now and held:
-                yield held
-                held = []
-            now = x[0]
-            held.append(x[1:])
+        for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if x[:width] != now:
+                if held:
+                    yield now, held
+                now, held = x[:width], []
+            held.append(x[width:])
     if held:
-        yield held
+        yield now, held
 
 
 def _answer(hot: int):
     """Which minimizers occur more than once, for each block: hashes, and whether they are very frequent."""
 
     def run(batches):
-        for rows in _by_bucket(batches):
+        for _, rows in _by_key(batches, 1):
             count = [len(held) // 12 for _, held in rows]
             h = np.concatenate([np.frombuffer(x, "<u8", m) for (_, x), m in zip(rows, count, strict=True)])
             n = np.concatenate([np.frombuffer(x, "<u4", m, 8 * m) for (_, x), m in zip(rows, count, strict=True)]).astype(np.int64)
@@ -240,7 +317,19 @@ def _answer(hot: int):
     return run
 
 
-def _contexts(buckets: int, length: int, k: int):
+def _packed(head: np.ndarray, data: np.ndarray) -> bytes:
+    return pack(head.tobytes() + data.tobytes() + np.int64(len(head)).tobytes())
+
+
+_SENT = ["bucket", "salt", "block", "contexts", "spans"]
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], _SENT)
+
+
+def _contexts(buckets: int, salts: int, length: int, k: int):
     def run(batches):
         for b in batches:
             answers = b.column(b.schema.get_field_index("held"))
@@ -250,75 +339,103 @@ def _contexts(buckets: int, length: int, k: int):
                     continue
                 ids, off, data = _load(b, i)
                 block = b.column(0)[i].as_py()
-                _, h, lo, hi, roll = minimizers(data, off, length, k)
+                h, w, lo, hi, roll = minimizers(data, off, length, k)
                 known = np.concatenate([np.frombuffer(x, "<u8", len(x) // 9) for x in held])
                 warm = np.concatenate([np.frombuffer(x, bool, len(x) // 9, 8 * (len(x) // 9)) for x in held])
                 order = np.argsort(known)
                 known, warm = known[order], warm[order]
                 slot = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 keep = known[slot] == h
-                h, lo, hi, hot = h[keep], lo[keep], hi[keep], warm[slot[keep]]
-                # very frequent ones: each window by itself, under its own hash
-                n = hi[hot] - lo[hot] + 1
-                single = np.repeat(lo[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                begin, end = np.concatenate((lo[~hot], single)), np.concatenate((hi[~hot], single))
-                whole = roll.of(begin, end + length)
-                key = np.concatenate((h[~hot], whole[int((~hot).sum()) :]))
+                h, w, lo, hi, hot = h[keep], w[keep], lo[keep], hi[keep], warm[slot[keep]]
+                # very frequent ones: each window by itself, under its own hash; of equal ones of a text the first
+                single = spread(lo[hot], hi[hot] - lo[hot] + 1)
+                whole = roll.of(single, single + length)
+                text = np.searchsorted(off, single, side="right") - 1
+                order = np.lexsort((single, whole, text))
+                x, y = order[1:], order[:-1]
+                at = np.flatnonzero((text[x] == text[y]) & (whole[x] == whole[y]))
+                at = x[at[same_bytes(data, single[x[at]], single[y[at]], np.full(len(at), length))]]
+                gone = [single[at]]
+                left = np.ones(len(single), bool)
+                left[at] = False
+                single, whole, cold = single[left], whole[left], ~hot
+                begin, end = np.concatenate((lo[cold], single)), np.concatenate((hi[cold], single))
                 doc = np.searchsorted(off, begin, side="right") - 1
                 head = np.zeros(len(begin), Contexts.HEAD)
-                head["key"], head["hash"], head["doc"], head["start"], head["n"], head["at"] = key, whole, ids[doc], begin - off[doc], end - begin + 1, begin
-                c = Contexts(head, gather(data, begin, end - begin + length), length)
-                order, same, later = c.settle()
-                gone = np.sort(order[later])
-                n = head["n"][gone].astype(np.int64)
-                spans = runs(np.unique(np.repeat(begin[gone], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)), length)
+                head["key"], head["hash"] = np.concatenate((h[cold], whole)), np.concatenate((roll.of(lo[cold], hi[cold] + length), whole))
+                head["doc"], head["start"], head["n"], head["at"], head["w"] = ids[doc], begin - off[doc], end - begin + 1, begin, 1
+                n_cold = int(cold.sum())
+                head["w"][:n_cold] = np.minimum(w[cold], 2)
+                c = Contexts(head, data, length, begin)
+                order, _, later = c.settle()
+                dropped = order[later]
+                gone.append(spread(begin[dropped], head["n"][dropped].astype(np.int64)))
+                spans = runs(np.unique(np.concatenate(gone)), length)
                 stay = np.sort(order[~later])
                 # rows that have the same place as an equal one (a repeated id) stay, to be settled with the others
-                rows = [(int(block % buckets), block, b"", spans.tobytes())] if len(spans) else []
-                for bucket, p in _deal(head["key"][stay], buckets):
-                    p = stay[p]
-                    rows.append((bucket, block, pack(head[p].tobytes() + gather(c.data, c.begin[p], c.size[p]).tobytes() + np.int64(len(p)).tobytes()), b""))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["bucket", "block", "contexts", "spans"])
+                rows = [(int(block % buckets), -1, block, b"", spans.tobytes())] if len(spans) else []
+                salt = int(mix(np.array([block], U64))[0] % U64(salts)) if salts > 1 else -1
+                for p, s in ((stay[stay < n_cold], -1), (stay[stay >= n_cold], salt)):
+                    for bucket, q in _deal(head["key"][p], buckets):
+                        q = p[q]
+                        rows.append((bucket, s, block, _packed(head[q], gather(data, begin[q], c.size[q])), b""))
+                yield _sent(rows)
 
     return run
 
 
-def _match(length: int, most: int = 24 << 20):
+def _match(length: int, most: int = 8 << 20):
+    """Spans of each block by buckets; of a bucket of very frequent windows (salt 0 and up) also the first of each kind."""
+
     def run(batches):
-        for rows in _by_bucket(batches):
-            out = [(block, spans) for block, _, spans in rows if spans]
+        for (bucket, salt), rows in _by_key(batches, 2):
+            out = [(bucket, -1, block, b"", spans) for block, _, spans in rows if spans]
             rows = [(block, unpack(x)) for block, x, _ in rows if x]
             if rows:
                 count = [int(np.frombuffer(x, "<i8", 1, len(x) - 8)[0]) for _, x in rows]
                 size = Contexts.HEAD.itemsize
                 head = np.concatenate([np.frombuffer(x, Contexts.HEAD, m) for (_, x), m in zip(rows, count, strict=True)])
                 data = np.concatenate([np.frombuffer(x, np.uint8, len(x) - 8 - m * size, m * size) for (_, x), m in zip(rows, count, strict=True)])
-                owner = np.repeat(np.arange(len(rows)), count)
+                blocks = [block for block, _ in rows]
+                del rows
+                owner = np.repeat(np.arange(len(blocks)), count)
                 c = Contexts(head, data, length)
-                order, same, later = c.settle()
+                order, lead, later = c.settle()
                 gone = order[later]
                 n = head["n"][gone].astype(np.int64)
-                row = [np.repeat(gone, n)]
-                win = [np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                # of equal contexts one; of keys those with several
-                rep = order[~same]
+                row, win = [np.repeat(gone, n)], [spread(np.zeros(len(n), np.int64), n)]
+                # of equal contexts one; of keys those with several occurrences
+                rep = order[lead == order]
                 key = head["key"][rep]
-                new = np.concatenate(([True], key[1:] != key[:-1]))
-                group = np.cumsum(new) - 1
-                rep = rep[np.bincount(group)[group] > 1]
+                group = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+                rep = rep[np.bincount(group, head["w"][rep])[group] > 1]
                 for part in _cut(head["key"][rep], c.size[rep], most):
                     r, w = c.earlier(rep[part])
                     row.append(r)
                     win.append(w)
                 row, win = np.concatenate(row), np.concatenate(win)
+                # rows at the place of the one that stood for them (of a repeated id) have its matches
+                twin = ~later & (lead != order)
+                twin, of = order[twin], lead[twin]
+                if len(twin):
+                    by = np.argsort(row, kind="stable")
+                    a, z = np.searchsorted(row[by], of), np.searchsorted(row[by], of, side="right")
+                    row, win = np.concatenate((row, np.repeat(twin, z - a))), np.concatenate((win, win[by][spread(a, z - a)]))
                 at, own = head["at"][row] + win, owner[row]
                 order = np.lexsort((at, own))
                 at, own = at[order], own[order]
-                cut = np.searchsorted(own, np.arange(len(rows) + 1))
-                for i, (block, _) in enumerate(rows):
+                cut = np.searchsorted(own, np.arange(len(blocks) + 1))
+                for i, block in enumerate(blocks):
                     if cut[i + 1] > cut[i]:
-                        out.append((block, runs(at[cut[i] : cut[i + 1]], length).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["block", "spans"])
+                        out.append((bucket, -1, block, b"", runs(at[cut[i] : cut[i + 1]], length).tobytes()))
+                if salt >= 0:
+                    first = np.ones(len(head), bool)
+                    first[row] = False
+                    for i, block in enumerate(blocks):
+                        q = np.flatnonzero(first & (owner == i))
+                        if len(q):
+                            out.append((bucket, -1, block, _packed(head[q], gather(data, c.begin[q], c.size[q])), b""))
+            yield _sent(out)
 
     return run
 
@@ -359,24 +476,38 @@ def _remove(keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, hot: int = HOT, block: int = BLOCK, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, hot: int = HOT, block: int = BLOCK, group: int = GROUP, keep_text: bool = True) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``keep_text``, the kept bytes.
 
     Ids are integers; null is after all others. Null text is empty. Rows with one id are at one place: a string at the
     same start of such rows is not a copy of itself, so repeated rows have equal results. Texts shorter than ``length``
-    stay whole. Other columns are ignored; an empty table gives an empty result.
+    stay whole. Very long and periodic texts are treated whole; a stretch of one period is sent once, not per window.
+    Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    integer_id(docs, id_col)
     ship(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * partitions
-    blocks = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_blocks(block), "block long, ids binary, nulls binary, off binary, data binary"), "repeat-blocks")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    blocks = materialize(rows.mapInArrow(_blocks(block), "block long, ids binary, nulls binary, off binary, data binary, size long"), "repeat-blocks")
+    n_blocks, n_bytes = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    buckets, salts = max(4 * partitions, n_bytes // BUCKET_BYTES), 1 + n_blocks // group
+    blocks = blocks.drop("size")
     sent = blocks.mapInArrow(_send(buckets, length, k), "bucket int, block long, held binary")
     answers = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(hot), "block long, held binary")
     # both joins of the blocks are left joins of all their columns, so Spark shuffles the blocks once and uses that twice
     asked = blocks.join(answers.groupBy("block").agg(F.collect_list("held").alias("held")), "block", "left")
-    contexts = asked.select("block", "ids", "nulls", "off", "data", "held").mapInArrow(_contexts(buckets, length, k), "bucket int, block long, contexts binary, spans binary")
-    spans = contexts.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_match(length), "block long, spans binary")
+    kinds = "bucket int, salt int, block long, contexts binary, spans binary"
+    met = asked.select("block", "ids", "nulls", "off", "data", "held").mapInArrow(_contexts(buckets, salts, length, k), kinds)
+
+    def match(x: DataFrame) -> DataFrame:
+        return x.repartition(partitions, "bucket", "salt").sortWithinPartitions("bucket", "salt").mapInArrow(_match(length), kinds)
+
+    spans = match(met)
+    if salts > 1:  # the first of each group of blocks meet
+        level = materialize(spans, "repeat-level")
+        spans = level.where("length(spans) > 0").unionByName(match(level.where("length(contexts) > 0")))
+    spans = spans.select("block", "spans")
     done = blocks.join(spans.groupBy("block").agg(F.collect_list("spans").alias("spans")), "block", "left")
     out = done.select("block", "ids", "nulls", "off", "data", "spans").mapInArrow(_remove(keep_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
     return out.withColumnRenamed("id", id_col)

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,13 +80,70 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot,block", [(2000, 1 << 20), (3, 3000)])
-def test_repeats(spark, hot, block):
+def brute_factors(texts, places, windows, length):
+    """By comparing every window with every other: the longest common prefix with one at a smaller place."""
+    out = []
+    for i, a in enumerate(windows):
+        best = 0
+        for j, b in enumerate(windows):
+            if places[j] < places[i]:
+                n = next((k for k in range(length) if texts[a + k] != texts[b + k]), length)
+                best = max(best, n)
+        out.append(best)
+    return out
+
+
+def test_previous_factors_equal_brute_force():
+    r = random.Random(3)
+    for length in (100, 16, 40):
+        for alphabet in (b"ab", b"abcdefgh", b"a"):
+            t = bytes(r.choice(alphabet) for _ in range(220)) + b"abab" * 40
+            at = np.arange(len(t) - length)
+            doc = np.array([r.randint(0, 3) for _ in at])
+            doc[10:20] = doc[30:40]
+            start = np.array([r.randint(0, 30) for _ in at])
+            got = repeats.previous_factors(repeats.Suffixes(np.frombuffer(t, np.uint8), length), at, doc, start)
+            assert got.tolist() == brute_factors(t, [*zip(doc.tolist(), start.tolist(), strict=True)], at.tolist(), length)
+
+
+def test_smaller_positions():
+    r = random.Random(4)
+    for n in (0, 1, 2, 50, 400):
+        x = np.array([r.randint(0, n) for _ in range(n)], np.int64)
+        want = [next((j for j in range(i - 1, -1, -1) if x[j] < x[i]), -1) for i in range(n)]
+        assert repeats.smaller_before(x).tolist() == want
+
+
+def test_periodic_texts_are_one_run():
+    for unit in (b"a", b"abc", b"x" * 30 + b"y"):
+        t = np.frombuffer(unit * (400_000 // len(unit)), np.uint8)
+        key, n, lo, hi, _ = repeats.minimizers(t, np.array([0, len(t)]))
+        assert len(key) <= len(unit) and n.sum() > 1000 and (hi - lo + 1).sum() == len(t) - 99
+
+
+def test_megabytes_of_one_letter(spark):
+    rows = [(1, "a" * 3_000_000), (2, "a" * 150), (3, "b" + "a" * 99)]
+    got = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in repeats.remove_repeats(texts(spark, rows), keep_text=False).collect()}
+    assert got == {1: (2_999_999, 1), 2: (150, 1), 3: (0, 0)}
+
+
+def test_repeated_ids_with_other_neighbours(spark):
+    """Rows of one id are alike also where only a part of them is elsewhere."""
+    r = random.Random(2)
+    t = "".join(r.choice("abcdefgh ") for _ in range(600))
+    rows = [(0, "z" * 50 + t[200:400]), (1, t), (1, t), (None, t[100:300]), (None, t[100:300])]
+    for block in (1 << 20, 500):
+        got = sorted((-1 if x["doc_id"] is None else x["doc_id"], x["n_removed"]) for x in repeats.remove_repeats(texts(spark, rows), block=block, keep_text=False).collect())
+        assert got == [(-1, 200), (-1, 200), (0, 0), (1, 200), (1, 200)]
+
+
+@pytest.mark.parametrize("hot,block,group", [(2000, 1 << 20, 4096), (3, 3000, 4096), (3, 1000, 4)])
+def test_repeats(spark, hot, block, group):
     r = random.Random(hot)
     u = "".join(r.choice("abcd efg\n") for _ in range(3000))
     kinds = [lambda: "", lambda: None, lambda: u[r.randint(0, 2000) :][: r.randint(0, 400)], lambda: "a" * r.randint(90, 300), lambda: "".join(r.choice("ab é") for _ in range(r.randint(0, 300))) + u[: r.randint(80, 140)], lambda: u[:130] * 3]
     rows = [(k, r.choice(kinds)()) for k in range(150)] + [(None, u[:500]), (LAST - 1, u * 5)]
-    got = repeats.remove_repeats(texts(spark, rows, extra=True), hot=hot, block=block).collect()
+    got = repeats.remove_repeats(texts(spark, rows, extra=True), hot=hot, block=block, group=group).collect()
     assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got} == brute_repeats(rows, 100)
     assert all(hashlib.sha256(x["kept"]).hexdigest() == x["kept_sha256"] for x in got)
 
