@@ -46,13 +46,27 @@ def _delete(jvm, conf, path: str) -> None:
         pass
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is not taken yet, deleted when the interpreter ends."""
+    path = f"{shared_dir(spark)}/orbitfold/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    atexit.register(_delete, sc._jvm, sc._jsc.hadoopConfiguration(), path)
+    return path
+
+
+def file_path(path: str) -> str | None:
+    """The path as Python opens it, if the shared folder is in a file system that is mounted everywhere; else None."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    return "/" + rest.lstrip("/") if scheme == "file" else None
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orbitfold/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    sc = spark.sparkContext
-    atexit.register(_delete, sc._jvm, sc._jsc.hadoopConfiguration(), path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

@@ -1,14 +1,16 @@
 """Zstandard WARC archives: a dictionary in the leading skippable frame, then one frame per record.
 
-``write_archives`` turns records into archives (a table of names and bytes, each bounded), ``read_archives`` reads such
-bytes, from that table or from ``binaryFile`` rows, frame by frame with the dictionary, and validates version, headers,
-lengths, digests and the blank lines between records.
+``store_archives`` writes records as ``.warc.zst`` files of bounded size, ``load_archives`` finds these as ``binaryFile``
+rows, and ``read_archives`` reads their bytes frame by frame with the dictionary, and validates version, headers,
+lengths, digests and the blank lines between records. Where Python workers cannot open files in the shared folder (it is
+in an object store), ``write_archives`` gives the same archives as a table of names and bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import file_path, materialize, new_folder, ship
 
 #: Fixed values of the formats.
 SKIPPABLE_DICT = 0x184D2A5D
@@ -132,24 +134,36 @@ def parse(rec: bytes) -> dict:
     return {"record_id": h[b"warc-record-id"].decode(), "url": h.get(b"warc-target-uri", b"").decode(), "record_type": kind, "payload_bytes": int(length[1]), "payload_digest": digest, "refers_to": h.get(b"warc-refers-to", b"").decode() or None, "payload": payload.decode("utf-8", "replace") if kind == "response" else None}
 
 
-def _write(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+def _archives(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[bytes]:
+    held, size = [], 0
+    for b in batches:
+        for x in zip(*(b.column(i) for i in range(4)), strict=True):
+            page_id, url, payload, refers = (v.as_py() for v in x)
+            payload = (payload or "").encode()
+            held.append(record(page_id, url, payload, digest32(payload), refers))
+            size += len(held[-1])
+            if size >= most:
+                yield archive(held)
+                held, size = [], 0
+    if held:
+        yield archive(held)
 
-        def done():
-            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{n:06d}.warc.zst"]), pa.array([archive(held)], pa.binary())], ["archive", "content"])
 
-        for b in batches:
-            for x in zip(*(b.column(i) for i in range(4)), strict=True):
-                page_id, url, payload, refers = (v.as_py() for v in x)
-                payload = (payload or "").encode()
-                held.append(record(page_id, url, payload, digest32(payload), refers))
-                size += len(held[-1])
-                if size >= most:
-                    yield done()
-                    n, held, size = n + 1, [], 0
-        if held:
-            yield done()
+def _write(most: int, folder: str | None = None):
+    """Archives as rows (archive, content) or, with a folder, as files in it, and rows (archive, size)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        for n, content in enumerate(_archives(batches, most)):
+            if folder is None:
+                yield pa.RecordBatch.from_arrays([pa.array([f"{task.partitionId():06d}-{n:06d}.warc.zst"]), pa.array([content], pa.binary())], ["archive", "content"])
+                continue
+            name = f"{task.partitionId():06d}-{task.taskAttemptId():09d}-{n:06d}.warc.zst"  # of its own for each attempt
+            at = os.path.join(folder, name)
+            with open(at + ".part", "wb") as f:
+                f.write(content)
+            os.replace(at + ".part", at)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(content)], pa.int64())], ["archive", "size"])
 
     return run
 
@@ -160,7 +174,7 @@ def plan_revisits(pages: DataFrame, id_col: str, payload_col: str, least: int) -
     The group table is written first, so the join has plain shuffles on both sides and skewed digests are split.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    key = F.unhex(F.sha1(payload)).alias("__key")
+    key = F.unhex(F.sha2(payload, 256)).alias("__key")
     size = F.octet_length(payload)
     held = materialize(
         pages.select(F.col(id_col).alias("__id"), key, size.alias("__size")).where(F.col("__size") >= least).groupBy("__key", "__size").agg(F.count(F.lit(1)).alias("__n"), F.max("__id").alias("__holder")).where("__n > 1").drop("__n"),
@@ -182,6 +196,30 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return rows.select(id_col, url_col, payload_col, "__refers").mapInArrow(_write(archive_bytes), "archive string, content binary")
 
 
+def store_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write the archives as files into ``folder``, which every executor can open; a written table (archive, size).
+
+    Each attempt of a task has names of its own, so the table names the whole files of the attempts that count. Cases as
+    in ``write_archives``.
+    """
+    spark = pages.sparkSession
+    ship(spark)
+    at = file_path(folder)
+    if at is None:
+        raise ValueError(f"Python workers cannot open files in {folder}")
+    os.makedirs(at, exist_ok=True)
+    rows = plan_revisits(pages.select(id_col, url_col, payload_col), id_col, payload_col, least)
+    rows = rows.select(id_col, url_col, payload_col, "__refers")
+    return materialize(rows.mapInArrow(_write(archive_bytes, at), "archive string, size long"), "warc-names")
+
+
+def load_archives(names: DataFrame, folder: str) -> DataFrame:
+    """``binaryFile`` rows (path, content, length) of the files of ``folder`` that are in ``names`` (archive, size)."""
+    files = names.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    name = F.regexp_extract("path", "[^/]+$", 0)
+    return files.join(names, (name == F.col("archive")) & (F.col("length") == F.col("size")), "left_semi")
+
+
 READ_SCHEMA = "record_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload string, error string"
 
 
@@ -223,8 +261,15 @@ def page_id(urn):
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write every page, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
-    archives = materialize(write_archives(pages, least=least), "warc")
+    """Write every page, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
+
+    Nulls, repeated rows and empty tables as in ``write_archives``; long payloads are records like any others.
+    """
+    folder = new_folder(pages.sparkSession, "warc")
+    if file_path(folder):
+        archives = load_archives(store_archives(pages, folder, least=least), folder)
+    else:
+        archives = materialize(write_archives(pages, least=least), "warc")
     kind = pages.schema["page_id"].dataType
     back = read_archives(archives)
     return back.select(page_id(F.col("record_id")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id(F.col("refers_to")).cast(kind).alias("refers_to"), "url")

@@ -100,6 +100,27 @@ def test_decontamination_keeps_repeated_and_null_ids(spark, index_windows):
     assert collections.Counter(map(str, got)) == collections.Counter(map(str, [(1, 13, 12, ["i"]), (1, 12, 12, ["j", "k"]), (1, 1, 0, []), (None, 12, 12, ["i"]), (None, 14, 12, ["j", "k"]), (2, 0, 0, []), (1, 1, 0, [])]))
 
 
+def warc_id(urn):
+    return None if urn is None else int(urn[len("<urn:page:") : -1])
+
+
+def test_archive_files(spark, tmp_path):
+    """Files of bounded size, small ones here; what an attempt that does not count has left is not read; nulls and repeats."""
+    rows = [(k % 50, f"http://x/{k}", f"<p>{k % 40}</p>" * 50) for k in range(200)] + [(None, None, None), (None, None, "lone"), (7, "again", "<p>7</p>" * 50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    names = warc.store_archives(df, str(tmp_path / "w"), archive_bytes=3000)
+    some = names.collect()
+    assert len(some) > 10 and {r["archive"] for r in some} == {p.name for p in (tmp_path / "w").iterdir()}
+    (tmp_path / "w" / "000000-999999999-000000.warc.zst").write_bytes(b"of another attempt")
+    got = warc.read_archives(warc.load_archives(names, str(tmp_path / "w"))).collect()
+    assert collections.Counter(r["url"] for r in got) == collections.Counter((u or "urn:none") for _, u, _ in rows)
+    holder = {}
+    for i, _, h in rows:
+        holder[h or ""] = max(holder.get(h or "", -1), -1 if i is None else i)
+    want = collections.Counter((str(i).replace("None", "null"), len((h or "").encode()), holder[h or ""] in (i, -1)) for i, _, h in rows)
+    assert collections.Counter((r["record_id"][10:-1], r["payload_bytes"], r["record_type"] == "response") for r in got) == want
+
+
 def test_archives(spark):
     rows = [(1, "http://a/\r\n x", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://b", None), (4, "http://c", ""), (5, "u", "x" * 300_000), (6, "u", "<p>é</p>"), (7, "u", "solo\r\n\r\nWARC/1.1")]
     got = {r["page_id"]: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("archive", F.lit(1))).collect()}
@@ -109,6 +130,8 @@ def test_archives(spark):
         keep = last[h or ""]
         assert (got[i]["payload_bytes"], got[i]["record_type"], got[i]["refers_to"]) == (len(b), "response" if i == keep else "revisit", None if i == keep else keep)
         assert got[i]["payload_digest"] == base64.b32encode(hashlib.sha1(b).digest()).decode()
+    tables = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))).select("record_id", "record_type", "refers_to").collect()
+    assert {warc_id(r["record_id"]): (r["record_type"], warc_id(r["refers_to"])) for r in tables} == {i: (r["record_type"], r["refers_to"]) for i, r in got.items()}
     a = warc.archive([warc.record(1, "u", b"x", warc.digest32(b"x"), None)])
     assert [warc.parse(r)["payload"] for r in warc.frames(a)] == ["x"]
     for bad in (a[:-3], b"junk" + a):
