@@ -1,7 +1,7 @@
 """Frames, elements, look angles, shadow, gravity and collision probability in stages of SQL expression text.
 
 A stage names new columns; later stages use those of earlier ones, so no expression is expanded twice. ``extend`` puts
-stages on a DataFrame, ``as_sql`` writes the same for other SQL engines. Inputs are x, y, z (km) and vx, vy, vz (km/s)
+stages on a DataFrame. Inputs are x, y, z (km) and vx, vy, vz (km/s)
 unless a docstring says otherwise. Degenerate frames give null.
 """
 
@@ -26,13 +26,6 @@ def extend(df: DataFrame, stages: list[Stage]) -> DataFrame:
     return df
 
 
-def as_sql(source: str, stages: list[Stage]) -> str:
-    sql = f"SELECT * FROM {source}"
-    for s in stages:
-        sql = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in s.items())} FROM ({sql})"
-    return sql
-
-
 def norm(*v: str) -> str:
     return f"sqrt({' + '.join(f'{a} * {a}' for a in v)})"
 
@@ -176,6 +169,13 @@ def process_noise(q: str, dt: str) -> dict[str, str]:
     return {"q_pp": f"{q} * power({dt}, 3e0) / 3e0", "q_pv": f"{q} * power({dt}, 2e0) / 2e0", "q_vv": f"{q} * {dt}"}
 
 
+def rotated(quaternion: str, v: tuple) -> tuple[str, str, str]:
+    """A vector turned by a unit quaternion, the array (w, x, y, z) that the expression gives."""
+    w, q = f"({quaternion})[0]", tuple(f"({quaternion})[{i}]" for i in (1, 2, 3))
+    t = tuple(f"(2e0 * {c})" for c in cross(q, v))
+    return tuple(f"({a} + {w} * {b} + {c})" for a, b, c in zip(v, t, cross(q, t), strict=True))
+
+
 def projected_area_m2(l: str, w: str, h: str, axes: list[tuple], direction: tuple) -> str:
     """Of a box whose unit ``axes`` are given, seen along ``direction``."""
     return " + ".join(f"{face} * abs({dot(a, direction)})" for face, a in zip((f"{w} * {h}", f"{l} * {h}", f"{l} * {w}"), axes, strict=True))
@@ -232,28 +232,18 @@ def _settled_longitude(rounds: int) -> str:
     return f"aggregate(sequence(1, {rounds}), {start}, (s, k) -> CASE WHEN abs(s.nxt - s.lam) <= 1e-12 THEN s ELSE named_struct('lam', s.nxt, 'nxt', {body}) END, s -> s.lam)"
 
 
-def vincenty(lat1: str, lon1: str, lat2: str, lon2: str, rounds: int = 200, unrolled: bool = False) -> list[Stage]:
-    """dist_km on the ellipsoid by at most ``rounds`` rounds of the inverse formula; the great circle if these do not settle.
-
-    The rounds are a fold in Spark's SQL; ``unrolled``, all are stages that other engines compute too.
-    """
-    lam, start = "lam0", "span" if unrolled else _settled_longitude(rounds)
-    rounds = rounds if unrolled else 1
-    out = [{"u1": f"atan((1e0 - {f.FLATTENING}) * tan(radians({lat1})))", "u2": f"atan((1e0 - {f.FLATTENING}) * tan(radians({lat2})))", "span": f"radians({lon2} - {lon1})"}, {"lam0": start}]
-    for n in range(1, rounds + 1):
-        out += [
-            {f"ss{n}": f"sqrt(power(cos(u2) * sin({lam}), 2e0) + power(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos({lam}), 2e0))", f"cs{n}": f"sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos({lam})"},
-            {f"sg{n}": f"atan2(ss{n}, cs{n})", f"sa{n}": f"CASE WHEN ss{n} = 0e0 THEN 0e0 ELSE cos(u1) * cos(u2) * sin({lam}) / nullif(ss{n}, 0e0) END"},
-            {f"ca{n}": f"1e0 - sa{n} * sa{n}"},
-            {f"cm{n}": f"CASE WHEN ca{n} < 1e-14 THEN 0e0 ELSE cs{n} - 2e0 * sin(u1) * sin(u2) / ca{n} END", f"cc{n}": f"{f.FLATTENING} / 16e0 * ca{n} * (4e0 + {f.FLATTENING} * (4e0 - 3e0 * ca{n}))"},
-            {f"lam{n}": f"span + (1e0 - cc{n}) * {f.FLATTENING} * sa{n} * (sg{n} + cc{n} * ss{n} * (cm{n} + cc{n} * cs{n} * (2e0 * cm{n} * cm{n} - 1e0)))"},
-        ]
-        lam = f"lam{n}"
-    n = rounds
+def vincenty(lat1: str, lon1: str, lat2: str, lon2: str, rounds: int = 200) -> list[Stage]:
+    """dist_km on the ellipsoid by at most ``rounds`` rounds of the inverse formula, a fold; the great circle if these do not settle."""
+    fl = f.FLATTENING
     return [
-        *out,
-        {"usq": f"ca{n} * ({f.RE} * {f.RE} - {f.B} * {f.B}) / ({f.B} * {f.B})"},
+        {"u1": f"atan((1e0 - {fl}) * tan(radians({lat1})))", "u2": f"atan((1e0 - {fl}) * tan(radians({lat2})))", "span": f"radians({lon2} - {lon1})"},
+        {"lam": _settled_longitude(rounds)},
+        {"ss": "sqrt(power(cos(u2) * sin(lam), 2e0) + power(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2e0))", "cs": "sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam)"},
+        {"sg": "atan2(ss, cs)", "sa": "CASE WHEN ss = 0e0 THEN 0e0 ELSE cos(u1) * cos(u2) * sin(lam) / nullif(ss, 0e0) END"},
+        {"ca": "1e0 - sa * sa"},
+        {"cm": "CASE WHEN ca < 1e-14 THEN 0e0 ELSE cs - 2e0 * sin(u1) * sin(u2) / ca END", "cc": f"{fl} / 16e0 * ca * (4e0 + {fl} * (4e0 - 3e0 * ca))"},
+        {"after": f"span + (1e0 - cc) * {fl} * sa * (sg + cc * ss * (cm + cc * cs * (2e0 * cm * cm - 1e0)))", "usq": f"ca * ({f.RE} * {f.RE} - {f.B} * {f.B}) / ({f.B} * {f.B})"},
         {"big_a": "1e0 + usq / 16384e0 * (4096e0 + usq * (-768e0 + usq * (320e0 - 175e0 * usq)))", "big_b": "usq / 1024e0 * (256e0 + usq * (-128e0 + usq * (74e0 - 47e0 * usq)))"},
-        {"turn": f"big_b * ss{n} * (cm{n} + big_b / 4e0 * (cs{n} * (2e0 * cm{n} * cm{n} - 1e0) - big_b / 6e0 * cm{n} * (4e0 * ss{n} * ss{n} - 3e0) * (4e0 * cm{n} * cm{n} - 3e0)))"},
-        {"dist_km": f"CASE WHEN abs(lam{n} - lam{n - 1}) > 1e-12 THEN {great_circle_km(lat1, lon1, lat2, lon2)} ELSE {f.B} * big_a * (sg{n} - turn) END"},
+        {"turn": "big_b * ss * (cm + big_b / 4e0 * (cs * (2e0 * cm * cm - 1e0) - big_b / 6e0 * cm * (4e0 * ss * ss - 3e0) * (4e0 * cm * cm - 3e0)))"},
+        {"dist_km": f"CASE WHEN abs(after - lam) > 1e-12 THEN {great_circle_km(lat1, lon1, lat2, lon2)} ELSE {f.B} * big_a * (sg - turn) END"},
     ]

@@ -11,19 +11,44 @@ def distance(a: str, b: str):
     return F.sqrt(sum((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in "xyz"))
 
 
-def range_self_join(points: DataFrame, radius: float, id_col: str = "id") -> DataFrame:
-    """Pairs (id_a < id_b, as strings, dist) at most ``radius`` apart: an equi-join of grid cells with the 27 around.
+#: The cells after a cell in one order of all 26 around it, and itself: each pair of neighbouring cells is met once.
+_AHEAD = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
 
-    Cells are as wide as the radius, so each pair meets once; non-finite points are dropped.
+
+def finite(*names: str) -> str:
+    return " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < 1e300" for c in names)
+
+
+def range_self_join(points: DataFrame, radius: float, id_col: str = "id", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (id_a < id_b, as strings, keys, dist) at most ``radius`` apart: an equi-join of grid cells with 14 of the 27 around.
+
+    Cells are a little wider than the radius, so that rounding puts no pair two cells apart. Rows with unequal ``keys``
+    (a time, say) are no pairs. A dense cell is a skewed key of an inner join, which adaptive execution splits.
+    Non-finite points are dropped.
     """
-    p = points.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < 1e300" for c in "xyz")).select(id_col, *"xyz")
-    cell = p.select("*", *(F.floor(F.col(c) / radius).alias(f"c{c}") for c in "xyz"))
-    near = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip((i, j, k), "ijk", strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
-    around = cell.withColumn("_n", near).withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"_n.{n}") for c, n in zip("xyz", "ijk", strict=True)}).drop("_n")
+    width = max(radius * (1 + 1e-9), 1e-6)
+    p = points.where(finite("x", "y", "z")).select(id_col, *keys, *"xyz")
+    cell = p.select("*", *(F.floor(F.col(c) / width).alias(f"c{c}") for c in "xyz"))
+    near = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(ijk, "ijk", strict=True))) for ijk in _AHEAD)))
+    around = cell.withColumn("_n", near).withColumn("_own", F.expr("_n.i = 0 AND _n.j = 0 AND _n.k = 0"))
+    around = around.withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"_n.{n}") for c, n in zip("xyz", "ijk", strict=True)}).drop("_n")
     a, b = cell.alias("a"), around.alias("b")
-    on = [F.col(f"a.c{c}") == F.col(f"b.c{c}") for c in "xyz"]
+    x, y = F.col(f"a.{id_col}"), F.col(f"b.{id_col}")
+    first = x.cast("string") < y.cast("string")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("cx", "cy", "cz", *keys)]
     d = distance("a", "b")
-    return a.join(b, on).where((F.col(f"a.{id_col}").cast("string") < F.col(f"b.{id_col}").cast("string")) & (d <= radius)).select(F.col(f"a.{id_col}").alias("id_a"), F.col(f"b.{id_col}").alias("id_b"), d.alias("dist"))
+    met = a.join(b, on).where((d <= radius) & (first | (~F.col("b._own") & (x.cast("string") != y.cast("string")))))
+    return met.select(F.when(first, x).otherwise(y).alias("id_a"), F.when(first, y).otherwise(x).alias("id_b"), *(F.col(f"a.{k}").alias(k) for k in keys), d.alias("dist"))
+
+
+def upsert(points: DataFrame, changes: DataFrame, id_col: str = "id") -> DataFrame:
+    """``points`` with the rows of ``changes`` in place of those with the same id."""
+    return points.join(changes.select(id_col), id_col, "left_anti").unionByName(changes.select(*points.columns))
+
+
+def rebuild(points: DataFrame) -> DataFrame:
+    """The points that an index holds: finite ones."""
+    return points.where(finite("x", "y", "z"))
 
 
 def within_radius(points: DataFrame, x: float, y: float, z: float, radius: float) -> DataFrame:
@@ -39,12 +64,14 @@ def envelope(ephemeris: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def closest_samples(ephemeris: DataFrame, threshold: float, id_col: str = "id") -> DataFrame:
-    """(id_a, id_b, step, dist): the first closest sample of each pair of trajectories, if at most ``threshold`` apart."""
-    a, b = ephemeris.alias("a"), ephemeris.alias("b")
-    pairs = a.join(b, (F.col("a.step") == F.col("b.step")) & (F.col(f"a.{id_col}").cast("string") < F.col(f"b.{id_col}").cast("string")))
-    pairs = pairs.select(F.col(f"a.{id_col}").alias("id_a"), F.col(f"b.{id_col}").alias("id_b"), F.col("a.step").alias("step"), distance("a", "b").alias("dist"))
-    best = pairs.groupBy("id_a", "id_b").agg(F.min(F.struct("dist", "step")).alias("m"))
-    return best.select("id_a", "id_b", F.col("m.step").alias("step"), F.col("m.dist").alias("dist")).where(F.col("dist") <= threshold)
+    """(id_a, id_b, step, dist): the first closest sample of each pair of trajectories, if at most ``threshold`` apart.
+
+    The closest sample of such a pair is among its samples within the threshold, so only these are joined, by step and
+    grid cell; no pair that is never near is a row.
+    """
+    near = range_self_join(ephemeris, threshold, id_col, ("step",))
+    best = near.groupBy("id_a", "id_b").agg(F.min(F.struct("dist", "step")).alias("m"))
+    return best.select("id_a", "id_b", F.col("m.step").alias("step"), F.col("m.dist").alias("dist"))
 
 
 def islands(rows: DataFrame, key: str, order: str, flag) -> DataFrame:
