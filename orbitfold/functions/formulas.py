@@ -13,7 +13,8 @@ B = f"({RE} * (1e0 - {FLATTENING}))"
 
 
 def period_minutes(n: str) -> str:
-    return f"CASE WHEN {n} <= 0e0 THEN NULL ELSE 1440e0 / {n} END"
+    """Without motion the period is infinite."""
+    return f"CASE WHEN {n} <= 0e0 THEN CAST('Infinity' AS DOUBLE) ELSE 1440e0 / {n} END"
 
 
 def semi_major_km(n: str) -> str:

@@ -7,22 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import formulas as f
+from ..functions import geometry as g
 
 
-def hohmann(plans: DataFrame) -> DataFrame:
-    """Two burns for each plan (r1, r2, isp, mass, thrust, t0): seq, dv_km_s, propellant_kg, duration_s, ignition_jd.
+def _centred(n: int, dv: str, centre: str):
+    """One burn around a moment (seconds after t0): along is +1 for a burn along the motion, -1 against it."""
+    return F.struct(
+        F.lit(n).alias("seq"), F.expr(f"abs({dv})").alias("dv_km_s"), F.expr(f"CASE WHEN {dv} < 0e0 THEN -1 ELSE 1 END").alias("along"), F.col(f"_p{n}").alias("propellant_kg"),
+        F.expr(f"_p{n} * isp * {f.G0} / thrust").alias("duration_s"), F.expr(f"({centre}) - _p{n} * isp * {f.G0} / thrust / 2e0").alias("ignition_s"),
+        F.expr(f"t0 + (({centre}) - _p{n} * isp * {f.G0} / thrust / 2e0) / 86400e0").alias("ignition_jd"),
+    )
+
+
+def _plan(plans: DataFrame, dvs: list[str], centres: list[str]) -> DataFrame:
+    """Burns with these signed speeds; each starts from the mass that the one before has left."""
+    left, p = "mass", plans.withColumns({f"_d{n}": F.expr(e) for n, e in enumerate(dvs, 1)})
+    for n in range(1, len(dvs) + 1):
+        p = p.withColumn(f"_p{n}", F.expr(f.tsiolkovsky_kg(f"({left})", f"abs(_d{n})", "isp")))
+        left += f" - _p{n}"
+    return p.select(*plans.columns, F.inline(F.array(*(_centred(n, f"_d{n}", c) for n, c in enumerate(centres, 1)))))
+
+
+def _speed(r: str, other: str) -> str:
+    return f"sqrt({f.MU} * (2e0 / {r} - 2e0 / ({r} + {other})))"
+
 
-    Burns are centred on the apsides; each starts from the mass that the one before has left.
-    """
-    dv1, dv2 = f.hohmann_dv("r1", "r2")
-    p = plans.withColumns({"dv1": F.expr(dv1), "dv2": F.expr(dv2)}).withColumn("p1", F.expr(f.tsiolkovsky_kg("mass", "dv1", "isp")))
-    p = p.withColumn("p2", F.expr(f.tsiolkovsky_kg("(mass - p1)", "dv2", "isp")))
-    p = p.withColumns({"d1": F.expr(f"p1 * isp * {f.G0} / thrust"), "d2": F.expr(f"p2 * isp * {f.G0} / thrust"), "half": F.expr(f"pi() * sqrt(power((r1 + r2) / 2e0, 3e0) / {f.MU})")})
-    burns = F.array(
-        F.struct(F.lit(1).alias("seq"), F.col("dv1").alias("dv_km_s"), F.col("p1").alias("propellant_kg"), F.col("d1").alias("duration_s"), F.expr("t0 - d1 / 2e0 / 86400e0").alias("ignition_jd")),
-        F.struct(F.lit(2).alias("seq"), F.col("dv2").alias("dv_km_s"), F.col("p2").alias("propellant_kg"), F.col("d2").alias("duration_s"), F.expr("t0 + (half - d2 / 2e0) / 86400e0").alias("ignition_jd")),
-    )
-    return p.select(*plans.columns, F.inline(burns))
+def _half(r: str, other: str) -> str:
+    return f"pi() * sqrt(power(({r} + {other}) / 2e0, 3e0) / {f.MU})"
+
+
+def hohmann(plans: DataFrame) -> DataFrame:
+    """Two burns for each plan (r1, r2, isp, mass, thrust, t0), centred on the apsides: seq, dv_km_s, along, propellant_kg,
+    duration_s, ignition_s (after t0), ignition_jd."""
+    return _plan(plans, [f"{_speed('r1', 'r2')} - {_speed('r1', 'r1')}", f"{_speed('r2', 'r2')} - {_speed('r2', 'r1')}"], ["0e0", _half("r1", "r2")])
 
 
 def plane_change(plans: DataFrame) -> DataFrame:
@@ -59,15 +76,16 @@ def segments(burns: DataFrame, key: str, low: int, high: int) -> DataFrame:
 
 
 def bielliptic(plans: DataFrame) -> DataFrame:
-    """Three burns for each plan (r1, rb, r2, isp, mass, thrust) by way of apoapsis rb: seq, signed dv_km_s, propellant_kg, duration_s."""
-    speed = lambda r, other: f"sqrt({f.MU} * (2e0 / {r} - 2e0 / ({r} + {other})))"
-    p = plans.withColumns({"_d1": F.expr(f"{speed('r1', 'rb')} - {speed('r1', 'r1')}"), "_d2": F.expr(f"{speed('rb', 'r2')} - {speed('rb', 'r1')}"), "_d3": F.expr(f"{speed('r2', 'r2')} - {speed('r2', 'rb')}")})
-    left = "mass"
-    for n in (1, 2, 3):
-        p = p.withColumn(f"_p{n}", F.expr(f.tsiolkovsky_kg(f"({left})", f"abs(_d{n})", "isp")))
-        left += f" - _p{n}"
-    rows = F.array(*(F.struct(F.lit(n).alias("seq"), F.col(f"_d{n}").alias("dv_km_s"), F.col(f"_p{n}").alias("propellant_kg"), F.expr(f"_p{n} * isp * {f.G0} / thrust").alias("duration_s")) for n in (1, 2, 3)))
-    return p.select(*plans.columns, F.inline(rows))
+    """Three burns for each plan (r1, rb, r2, isp, mass, thrust, t0) by way of apoapsis rb; columns as of ``hohmann``."""
+    dvs = [f"{_speed('r1', 'rb')} - {_speed('r1', 'r1')}", f"{_speed('rb', 'r2')} - {_speed('rb', 'r1')}", f"{_speed('r2', 'r2')} - {_speed('r2', 'rb')}"]
+    return _plan(plans, dvs, ["0e0", _half("r1", "rb"), f"{_half('r1', 'rb')} + {_half('rb', 'r2')}"])
+
+
+def thrust_acceleration(burns: DataFrame, frame: str = "VNB") -> DataFrame:
+    """``burns`` (state, thrust in N, mass_kg, direction dx, dy, dz in the frame) with ax, ay, az in inertial axes, km/s2."""
+    axes = {"VNB": (g.VNB, ("v_", "n_", "b_")), "RTN": (g.RTN, ("r_", "t_", "n_"))}[frame]
+    out = g.extend(burns, [*axes[0], *g.to_inertial(axes[1], ("dx", "dy", "dz"), "_i")])
+    return out.select(*burns.columns, *(F.expr(f"thrust / mass_kg / 1000e0 * _i{c}").alias(f"a{c}") for c in "xyz"))
 
 
 def validate(burns: DataFrame) -> DataFrame:

@@ -28,18 +28,30 @@ def filter_time_window(objects: DataFrame, start_jd: float) -> DataFrame:
 
 
 def apply_filters(objects: DataFrame, altitude: tuple | None = None, latitude: tuple | None = None, start_jd: float | None = None, types: list[str] | None = None, first: int | None = None, ordinal: str = "ordinal") -> DataFrame:
-    """Altitude, region, time, types, then the first rows in catalog order."""
+    """Altitude, region, time, types, then the first rows in catalog order; None is no constraint."""
     if altitude:
         objects = filter_altitude(objects, *altitude)
     if latitude:
         objects = filter_region(objects, *latitude)
     if start_jd is not None:
         objects = filter_time_window(objects, start_jd)
-    if types:
+    if types is not None:  # no types let nothing through
         objects = objects.where(F.col("object_type").isin(types))
     return objects.orderBy(ordinal).limit(first) if first is not None else objects
 
 
+def staleness(objects: DataFrame, at_jd: float, days: float = 30.0, strict: bool = False) -> DataFrame:
+    """``objects`` with ``stale``: whether their epoch is more than ``days`` from a time, before or after; strict raises then."""
+    out = objects.withColumn("stale", F.abs(F.lit(at_jd) - F.col("epoch_jd")) > days)
+    if strict:
+        from ..errors import PropagationError
+
+        old = out.where("stale").select("epoch_jd").first()
+        if old is not None:
+            raise PropagationError("elements are stale", epoch_jd=old[0], at_jd=at_jd)
+    return out
+
+
 def statistics(objects: DataFrame) -> DataFrame:
     """One row; other types than the four are not counted by type; zeros for an empty catalog."""
     count = lambda cond: F.count_if(F.expr(cond)).cast("long")

@@ -45,7 +45,7 @@ def parse_kvn(messages: DataFrame, kvn: str = "kvn") -> DataFrame:
         F.filter(F.split(text, r"\r?\n"), lambda x: x.contains("=") & ~F.ltrim(x).startswith("COMMENT")),
         lambda x: F.struct(F.upper(F.trim(F.substring_index(x, "=", 1))).alias("k"), F.trim(F.regexp_replace(x, r"^[^=]*=", "")).alias("v")),
     )
-    section = lambda n: lines(F.concat_ws("\n", F.transform(F.filter(F.slice(F.col("_p"), 2, 1000), lambda s: F.upper(s).startswith(f"OBJECT{n}")), lambda s: s)))
+    section = lambda n: lines(F.concat_ws("\n", F.transform(F.filter(F.slice(F.col("_p"), 2, F.size("_p")), lambda s: F.upper(s).startswith(f"OBJECT{n}")), lambda s: s)))
     parts = parts.withColumns({"_h": lines(F.try_element_at("_p", F.lit(1))), "_o1": section(1), "_o2": section(2)})
     value = lambda c, k: F.try_element_at(F.filter(F.col(c), lambda e: e["k"] == k), F.lit(-1))["v"]
     number = lambda c, k: value(c, k).try_cast("double")
