@@ -395,7 +395,8 @@ def decode(df: DataFrame, ids_col: str = "ids", id_col: str = "doc_id", path: st
 def round_trip(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256 (and the ids): encoded with begin and end ids, then decoded.
 
-    Null text counts as empty; repeated rows each give a row; other columns are ignored.
+    Null text counts as empty; repeated rows each give a row; other columns are ignored; an empty table gives an empty
+    result; very long texts are encoded whole.
     """
     ship(df.sparkSession)
     return df.select(id_col, text_col).mapInArrow(_pass([id_col], text_col, path, "both" if keep_ids else "digests", True), _schema(df, [id_col]) + "ids array<int>, " * keep_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -237,6 +237,27 @@ def test_ids_must_be_integers(spark):
             run(df)
 
 
+def test_recall_near_the_threshold():
+    """20,000 pairs of sets with a similarity of 0.8 to 0.82: share a band and are not pruned, against the exact join (all of them)."""
+    r = np.random.default_rng(11)
+    missed = total = 0
+    for _ in range(20):
+        n = int(r.integers(20, 200))
+        both = int(np.ceil(0.8 * 2 * n / 1.8))  # of two sets of n this many in common give 0.8
+        h = r.integers(0, 2**64, (1000, 2 * n - both), dtype=np.uint64)
+        a, b = h[:, :n], h[:, n - both :]
+        exact = both / (2 * n - both)
+        assert 0.8 <= exact < 0.84
+        off = np.arange(1001) * n
+        x, y = (jaccard.signatures(np.sort(v, 1).reshape(-1), off) for v in (a, b))
+        met = (x.reshape(1000, jaccard.BANDS, jaccard.ROWS) == y.reshape(1000, jaccard.BANDS, jaccard.ROWS)).all(2).any(1)
+        low = [v.astype(np.uint8) for v in (x, y)]
+        kept = np.array([len(jaccard.surviving(low[0][k : k + 1], low[1][k : k + 1], jaccard.least_matches())[0]) > 0 for k in np.flatnonzero(met)])
+        missed += 1000 - int(kept.sum())
+        total += 1000
+    assert missed <= 2 and total == 20_000
+
+
 def test_pruning_is_monotone():
     needed = jaccard.least_matches()
     assert [n for n, _ in needed] == [24, 48, 72, 96]

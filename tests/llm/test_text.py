@@ -60,6 +60,15 @@ def test_prefix_counts_equal_library(spark):
     assert [(r["text"], r["n_tokens"]) for r in cut] == [("one two three", 3), ("", 0)]
 
 
+def test_tokens_of_empty_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "one two"), (2, None)], "doc_id long, text string").withColumn("n_tokens", F.lit(9))
+    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in token_counts.count_tokens(df).collect())
+    assert got == [("1", 2), ("1", 2), ("2", 0), ("None", 2)]
+    assert token_counts.count_tokens(df.limit(0)).count() == 0
+    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in pieces.round_trip(df).collect())
+    assert got == [("1", 4), ("1", 4), ("2", 2), ("None", 4)]
+
+
 def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
@@ -385,6 +394,25 @@ def test_main_text_takes_linear_time(spark):
     assert main_text.extract(df.limit(0)).count() == 0
 
 
+def test_stages_take_odd_rows(spark):
+    """Null, empty, repeated and clashing: every stage runs on what the one before has left, and keeps the columns."""
+    import corpus_pipeline as cp
+
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(60).collect()
+    clean = "these words are in no other text of this table and so it has to stay until the end"
+    odd = [(None, None, None), (None, "", None), (None, clean, "en"), (1, "12 !", None), (real[0]["doc_id"], real[0]["text"], real[0]["lang"])]
+    docs = spark.createDataFrame([*map(tuple, real), *odd], "doc_id long, text string, lang string").withColumns({"n_chars": F.lit(1), "source": F.lit("s"), "k": F.lit(2), "node": F.lit(3), "lead": F.lit(4)})
+    columns = docs.columns
+    for name, stage in cp.STAGES[:-1]:
+        docs = cp.materialize(stage(spark, docs, SF), name)
+        assert docs.columns == columns and docs.where("n_chars <> 1 OR source <> 's' OR k <> 2 OR node <> 3 OR lead <> 4").count() == 0
+    left = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert (None, clean) in left and len(left) == len(set(left)) and all(any(map(str.isalpha, t)) for _, t in left)
+    empty = docs.limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+
+
 def test_queries_and_pipeline(spark):
     """Every query runs on the smallest tables; the pipeline equals its stages by brute force."""
     import corpus_pipeline as cp
