@@ -187,7 +187,7 @@ def brute_near(rows):
     return sorted(((LAST if d is None else d), min(members[top(i)]), len(members[top(i)]), links[i]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("chunk", [384, 7])
+@pytest.mark.parametrize("chunk", [1024, 7])
 def test_jaccard(spark, monkeypatch, chunk):
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
     r = random.Random(5)
@@ -217,17 +217,15 @@ def test_near_copies_leave_one(spark):
 
 def test_near_copies_are_rows_not_ids(spark):
     """A null or repeated id beside a linked one takes no unrelated row with it, and each class leaves just one row."""
-    t, other = " ".join(f"w{i}" for i in range(80)), "other words that nobody else has here"
-    for rows, left in (
-        ([(1, t), (None, t), (None, other)], [(1, t), (None, other)]),
-        ([(1, t), (2, t), (2, other)], [(1, t), (2, other)]),
-        ([(1, t), (1, t), (1, t + " x"), (1, other), (1, None), (1, None)], [(1, None), (1, None), (1, other), (1, min(t, t + " x"))]),
-        ([(None, t), (None, t), (None, ""), (None, "")], [(None, t), (None, ""), (None, "")]),
-    ):
-        got = [(r["doc_id"], r["text"]) for r in jaccard.drop_near_copies(texts(spark, rows, extra=True)).collect()]
-        if rows[0] == rows[-1] or len(rows) == 6:  # which of two sets of one id stays is settled by their keys
-            got = [(i, min(t, t + " x") if (x or "").startswith("w0") else x) for i, x in got]
-        assert sorted(got, key=repr) == sorted(left, key=repr)
+    t = [" ".join(f"{c}{i}" for i in range(80)) for c in "abcd"]
+    other = [f"{c} words that nobody else has here" for c in "abcd"]
+    rows = [(1, t[0]), (None, t[0]), (None, other[0])] + [(11, t[1]), (12, t[1]), (12, other[1])]
+    rows += [(21, t[2]), (21, t[2]), (21, t[2] + " x"), (21, other[2]), (21, None), (21, None)] + [(None, t[3]), (None, t[3]), (None, ""), (None, "")]
+    left = [(1, "a"), (None, other[0]), (11, "b"), (12, other[1]), (21, "c"), (21, other[2]), (21, None), (21, None), (None, "d"), (None, ""), (None, "")]
+    got = [(r["doc_id"], r["text"]) for r in jaccard.drop_near_copies(texts(spark, rows, extra=True)).collect()]
+    # which of two sets of one id stays is settled by their keys
+    got = [(i, x[0] if x and x.removesuffix(" x") in t else x) for i, x in got]
+    assert sorted(got, key=repr) == sorted(left, key=repr)
 
 
 def test_ids_must_be_integers(spark):
@@ -247,12 +245,12 @@ def test_recall_near_the_threshold():
         h = r.integers(0, 2**64, (1000, 2 * n - both), dtype=np.uint64)
         a, b = h[:, :n], h[:, n - both :]
         exact = both / (2 * n - both)
-        assert 0.8 <= exact < 0.84
+        assert 0.8 <= exact < 0.87
         off = np.arange(1001) * n
         x, y = (jaccard.signatures(np.sort(v, 1).reshape(-1), off) for v in (a, b))
         met = (x.reshape(1000, jaccard.BANDS, jaccard.ROWS) == y.reshape(1000, jaccard.BANDS, jaccard.ROWS)).all(2).any(1)
-        low = [v.astype(np.uint8) for v in (x, y)]
-        kept = np.array([len(jaccard.surviving(low[0][k : k + 1], low[1][k : k + 1], jaccard.least_matches())[0]) > 0 for k in np.flatnonzero(met)])
+        same = (x.astype(np.uint8) == y.astype(np.uint8)).cumsum(1)
+        kept = met & np.all([same[:, n - 1] >= m for n, m in jaccard.least_matches()], axis=0)
         missed += 1000 - int(kept.sum())
         total += 1000
     assert missed <= 2 and total == 20_000
