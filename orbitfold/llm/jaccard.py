@@ -31,7 +31,7 @@ BANDS, ROWS = 24, 4
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 24, 1e-6
 #: Nodes in a chunk of a bucket or group, and bytes of shingles in a chunk of a group.
-CHUNK, CHUNK_BYTES = 384, 16 << 20
+CHUNK, CHUNK_BYTES = 1024, 16 << 20
 LAST = 2**63 - 1  # the id that null stands for
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
@@ -316,6 +316,8 @@ def _classes(signed: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     dealt = pairs.repartition(partitions, "band", "ci", "cj").sortWithinPartitions("band", "ci", "cj")
     edges = dealt.select("band", "ci", "cj", "_mine", "node", "sig").mapInArrow(_candidates, "a binary, b binary").distinct()
     groups = materialize(components(edges).join(nodes.select("node", "id", "size", "n"), "node"), "jaccard-groups")
+    discard(several)
+    discard(met)
     heavy = F.ceil(F.sum("n") * (8.0 * CHUNK / CHUNK_BYTES))  # a group of long texts counts as one of more nodes
     sized = materialize(groups.join(groups.groupBy("root").agg(F.greatest(F.count(F.lit(1)), heavy).alias("c")), "root"), "jaccard-sized")
     sets = first_texts(rows, sized).mapInArrow(_sets, "grp binary, node binary, size long, c long, set binary")
@@ -330,7 +332,7 @@ def _classes(signed: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     found = named.join(whole, "root")
     found = found.select("node", F.col("least.id").alias("keep_id"), F.col("least.node").alias("keep_node"), "class_size", (F.col("links") + F.col("size") - 1).alias("n_links"))
     answer = materialize(found, "jaccard-answer")
-    for t in (several, met, groups, sized, linked):
+    for t in (nodes, groups, sized, linked):
         discard(t)
     return answer
 
