@@ -113,7 +113,7 @@ SQL: dict[str, str] = {
  FROM (SELECT norad_id, ['CDM', 'SYNTHETIC', 'UNAVAILABLE'][ordinal % 3 + 1] AS a, ['CDM', 'SYNTHETIC', 'COMSPOC_SYNTHETIC', 'UNAVAILABLE'][ordinal % 4 + 1] AS b FROM c)""",
     "g0_circular_position": f"{STATE} SELECT norad_id, {outputs('xyz')} FROM s",
     "t5_gmst": f"{CATALOG} SELECT norad_id, round({turn('epoch_jd')}, 6) AS gmst_rad FROM c",
-    "t5_teme_to_ecef": f"{STATE} SELECT norad_id, {outputs({'x': 'd * cos(l - g)', 'y': 'd * sin(l - g)'}, 4)} FROM (SELECT norad_id, sqrt(x * x + y * y) AS d, atan2(y, x) AS l, {turn('epoch_jd')} AS g FROM s)",
+    "t5_teme_to_ecef": f"{STATE} SELECT norad_id, {outputs({'x': 'd * cos(l - g)', 'y': 'd * sin(l - g)'}, 3)} FROM (SELECT norad_id, sqrt(x * x + y * y) AS d, atan2(y, x) AS l, {turn('epoch_jd')} AS g FROM s)",
     "t7_geodetic_to_ecef": f"{CATALOG} SELECT norad_id, {outputs({'x': 'gx', 'y': 'gy', 'z': 'gz'})} FROM (SELECT norad_id, {place('(inclination - 90)', '(raan - 180)', 'altitude_km')} FROM c)",
     "t6_ecef_to_latitude": f"{STATE} SELECT norad_id, round({latitude('x', 'y', 'z')}, 6) + 0e0 AS lat FROM s",
     "t6_ecef_to_altitude": f"{CATALOG} SELECT norad_id, round({altitude('gx', 'gy', 'gz', '(inclination - 90)')}, 4) + 0e0 AS alt FROM (SELECT *, {place('(inclination - 90)', '(raan - 180)', 'altitude_km')} FROM c)",

@@ -175,7 +175,7 @@ _LAT, _LON, _ALT = "(inclination - 90e0)", "(raan - 180e0)", "altitude_km"
 _GX, _GY, _GZ = f.geodetic_to_ecef(_LAT, _LON, _ALT)
 computed("g0_circular_position", "norad_id", {"x": _X, "y": _Y, "z": _Z})
 computed("t5_gmst", "norad_id", {"gmst_rad": f.gmst_rad("epoch_jd")})
-computed("t5_teme_to_ecef", "norad_id", dict(zip(("x", "y"), f.teme_to_ecef(_X, _Y, "epoch_jd"), strict=True)), 4)
+computed("t5_teme_to_ecef", "norad_id", dict(zip(("x", "y"), f.teme_to_ecef(_X, _Y, "epoch_jd"), strict=True)), 3)
 computed("t7_geodetic_to_ecef", "norad_id", {"x": _GX, "y": _GY, "z": _GZ})
 computed("t6_ecef_to_latitude", "norad_id", {"lat": f.ecef_to_latitude(_X, _Y, _Z)})
 computed("t6_ecef_to_altitude", "norad_id", {"alt": f.ecef_to_altitude(_GX, _GY, _GZ, _LAT)}, 4)
