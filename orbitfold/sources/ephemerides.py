@@ -59,12 +59,17 @@ def _lines(text: Column) -> Column:
 
 
 def _states(rows: DataFrame, keep: list[str], states: Column, empty: Column) -> DataFrame:
-    """One row a state, by time; a text with a reason, or none of whose states can be read, has one row with the reason."""
+    """One row a state, by time; a text with a reason, or none of whose states can be read, has one row with the reason.
+
+    The reason goes through the generator too: so a filter on it stays above, and does not repeat the whole parsing.
+    """
     out = rows.withColumn("_s", states).withColumn("_bad", F.filter("_s", lambda s: s["reason"].isNotNull()))
-    reason = F.coalesce(empty, F.try_element_at("_bad", F.lit(1))["reason"], F.when(F.size("_s") == 0, F.lit("NO_STATES")))
-    out = out.withColumn("reason", reason).withColumn("_s", F.when(F.col("reason").isNull(), F.sort_array("_s")))
-    out = out.select(*keep, "reason", F.posexplode_outer("_s").alias("ordinal", "_s"))
-    return out.select(*keep, "reason", "ordinal", F.col("_s.t_us").alias("t_us"), (2440587.5 + F.col("_s.t_us") / 86_400e6).alias("t_jd"), *(F.col(f"_s.{n}").alias(n) for n in NAMES))
+    out = out.withColumn("_why", F.coalesce(empty, F.try_element_at("_bad", F.lit(1))["reason"], F.when(F.size("_s") == 0, F.lit("NO_STATES"))))
+    none = F.struct(F.lit(None).cast("long").alias("t_us"), *(F.lit(None).cast("double").alias(n) for n in NAMES), F.col("_why").alias("reason"))
+    out = out.withColumn("_rows", F.when(F.col("_why").isNotNull(), F.array(none)).otherwise(F.sort_array("_s")))
+    out = out.select(*keep, F.posexplode("_rows").alias("_k", "_s"))
+    reason = F.col("_s.reason")
+    return out.select(*keep, reason.alias("reason"), F.when(reason.isNull(), F.col("_k")).alias("ordinal"), F.col("_s.t_us").alias("t_us"), (2440587.5 + F.col("_s.t_us") / 86_400e6).alias("t_jd"), *(F.col(f"_s.{n}").alias(n) for n in NAMES))
 
 
 def _state(epoch: Column, value) -> Column:
