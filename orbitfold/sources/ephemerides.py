@@ -16,10 +16,6 @@ MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 KILOMETRES, METRES = ("km", "kilometers", "kilometre", "kilometres"), ("m", "meters", "metre", "metres")
 
 
-def _day_us(year: Column, month: Column, day: Column) -> Column:
-    return F.unix_date(F.try_make_date(year, month, day)).cast("long") * 86_400_000_000 if hasattr(F, "try_make_date") else _date_us(year, month, day)
-
-
 def _date_us(year: Column, month: Column, day: Column) -> Column:
     text = F.format_string("%04d-%02d-%02d", year, month, day)
     return F.unix_date(text.try_cast("date")).cast("long") * 86_400_000_000
@@ -143,21 +139,18 @@ def parse_stk(files: DataFrame, text: str = "text") -> DataFrame:
     Reasons: EMPTY, NOT_STK, MISSING_EPOCH, NO_STATES. Rows that are no numbers, and comments, are passed over.
     """
     keep = [c for c in files.columns if c != text]
-    rows = files.withColumn("_l", F.filter(_lines(F.col(text)), lambda x: (x != "") & ~x.startswith("#")))
-    low = lambda x: F.lower(x)
-    begin = F.array_position(F.transform("_l", lambda x: low(x).startswith("begin ephemeris")), True)
-    rows = rows.withColumn("_in", F.when(begin > 0, F.slice("_l", begin + 1, F.size("_l"))).otherwise(F.array().cast("array<string>")))
-    end = F.array_position(F.transform("_in", lambda x: low(x).startswith("end ephemeris")), True)
-    rows = rows.withColumn("_in", F.when(end > 0, F.slice("_in", 1, end - 1)).otherwise(F.col("_in")))
-    epoch = stk_epoch_us(F.try_element_at(F.filter("_in", lambda x: low(x).startswith("scenarioepoch")), F.lit(1)))
-    data = F.array_position(F.transform("_in", lambda x: low(x).startswith("ephemeristimeposvel")), True)
-    rows = rows.withColumn("_d", F.when(data > 0, F.slice("_in", data + 1, F.size("_in"))).otherwise(F.array().cast("array<string>")))
-    stop = F.array_position(F.transform("_d", lambda x: low(x).startswith("covariancetimeposvel")), True)
-    rows = rows.withColumn("_d", F.when(stop > 0, F.slice("_d", 1, stop - 1)).otherwise(F.col("_d"))).withColumn("_e", epoch)
-    rows = rows.withColumn("_n", F.transform("_d", lambda x: F.transform(F.slice(F.split(x, r"\s+"), 1, 7), lambda v: v.try_cast("double"))))
+    body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?m)^[ \t]*#.*$", "")
+    rows = files.withColumn("_t", F.concat(F.ltrim(F.regexp_replace(body, r"^\s+", "")), F.lit("\n")))
+    # cut by the marks first, so that only the rows of states are split into lines and fields
+    inside = F.regexp_extract("_t", r"(?is)\n\s*BEGIN Ephemeris[^\n]*\n(.*?)(?=\n\s*END Ephemeris|\z)", 1)
+    rows = rows.withColumn("_in", F.concat(F.lit("\n"), inside))
+    epoch = stk_epoch_us(F.regexp_extract("_in", r"(?i)\n\s*ScenarioEpoch[ \t]+([^\n]*)", 1))
+    data = F.regexp_extract("_in", r"(?is)\n\s*EphemerisTimePosVel[^\n]*\n(.*?)(?=\n\s*CovarianceTimePosVel|\z)", 1)
+    rows = rows.withColumn("_e", epoch).withColumn("_d", F.split(data, r"\r?\n"))
+    rows = rows.withColumn("_n", F.transform("_d", lambda x: F.transform(F.slice(F.split(F.trim(F.regexp_replace(x, "\t", " ")), " +"), 1, 7), lambda v: v.try_cast("double"))))
     rows = rows.withColumn("_n", F.filter("_n", lambda n: (F.size(n) == 7) & F.forall(n, lambda v: v.isNotNull())))
     states = F.transform("_n", lambda n: F.struct((F.col("_e") + F.round(n[0] * 1e6).cast("long")).alias("t_us"), *(n[i + 1].alias(c) for i, c in enumerate(NAMES)), F.lit(None).cast("string").alias("reason")))
-    empty = F.when(F.size("_l") == 0, F.lit("EMPTY")).when(~low(F.col("_l")[0]).startswith("stk.v"), F.lit("NOT_STK")).when(F.col("_e").isNull(), F.lit("MISSING_EPOCH"))
+    empty = F.when(F.trim("_t") == "\n", F.lit("EMPTY")).when(~F.lower("_t").startswith("stk.v"), F.lit("NOT_STK")).when(F.col("_e").isNull(), F.lit("MISSING_EPOCH"))
     return _states(rows, keep, states, empty)
 
 
