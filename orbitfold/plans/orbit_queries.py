@@ -89,7 +89,7 @@ def _f6(spark, sf):
 
 # ---------------------------------------------------------------- conjunctions on straight lines
 
-STEPS, STEP_S, MISS = 24, 60, 25.0
+STEPS, STEP_S, MISS = 24, 60, 175.0
 _SPEED = {"vx": "((p_partkey * 31) % 21 - 10) / 10e0", "vy": "((p_partkey * 17) % 23 - 11) / 10e0", "vz": "((p_partkey * 13) % 19 - 9) / 10e0"}
 _LINES = f"WITH p AS (SELECT {syn.POINTS}, {', '.join(f'{e} AS {c}' for c, e in _SPEED.items())} FROM part), q AS (SELECT a.id AS id_a, b.id AS id_b, b.x - a.x AS x, b.y - a.y AS y, b.z - a.z AS z, b.vx - a.vx AS vx, b.vy - a.vy AS vy, b.vz - a.vz AS vz FROM p a JOIN p b ON CAST(a.id AS VARCHAR) < CAST(b.id AS VARCHAR)), "
 _LINES += f"k AS (SELECT *, vx * vx + vy * vy + vz * vz AS vv, x * vx + y * vy + z * vz AS rv, x * x + y * y + z * z AS rr FROM q), m AS (SELECT *, CASE WHEN vv = 0 THEN 0 ELSE least({(STEPS - 1) * STEP_S}, greatest(0, -rv / vv)) END AS t FROM k), n AS (SELECT *, sqrt(greatest(0, rr + 2 * rv * t + vv * t * t)) AS miss FROM m) "

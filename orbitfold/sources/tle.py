@@ -49,7 +49,8 @@ def parse(rows: DataFrame, line1: str = "line1", line2: str = "line2") -> DataFr
     mantissa = F.regexp_extract(star, r"^(\d*)([+-]?\d)$", 1)
     bstar = F.coalesce(sign * F.concat(F.lit("0."), mantissa, F.lit("e"), F.regexp_extract(star, r"^(\d*)([+-]?\d)$", 2)).try_cast("double"), F.lit(0.0))
     ok = lambda c: F.when(F.col("reason").isNull(), c)
-    return rows.withColumn("reason", reason).withColumns({
+    # through a generator: a filter on the reason then stays above, and does not repeat all the tests in itself
+    return rows.withColumn("reason", F.explode(F.array(reason))).withColumns({
         "norad_id": ok(part(a, 3, 5)), "classification": ok(F.substring(a, 8, 1)), "epoch_us": ok(us), "inclination": ok(inc), "raan": ok(part(b, 18, 8).try_cast("double")), "eccentricity": ok(ecc),
         "argp": ok(part(b, 35, 8).try_cast("double")), "mean_anomaly": ok(part(b, 44, 8).try_cast("double")), "mean_motion": ok(part(b, 53, 11).try_cast("double")), "bstar": ok(bstar),
     })
