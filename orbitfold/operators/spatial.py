@@ -24,7 +24,8 @@ def range_self_join(points: DataFrame, radius: float, id_col: str = "id", keys:
 
     Cells are a little wider than the radius, so that rounding puts no pair two cells apart. Rows with unequal ``keys``
     (a time, say) are no pairs. A dense cell is a skewed key of an inner join, which adaptive execution splits.
-    Non-finite points are dropped.
+    Non-finite points are dropped. Both sides are shuffled: what a generator gives is not in the estimates of size, by
+    which a table of millions of rows would be collected at the driver and broadcast.
     """
     width = max(radius * (1 + 1e-9), 1e-6)
     p = points.where(finite("x", "y", "z")).select(id_col, *keys, *"xyz")
@@ -32,7 +33,7 @@ def range_self_join(points: DataFrame, radius: float, id_col: str = "id", keys:
     near = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(ijk, "ijk", strict=True))) for ijk in _AHEAD)))
     around = cell.withColumn("_n", near).withColumn("_own", F.expr("_n.i = 0 AND _n.j = 0 AND _n.k = 0"))
     around = around.withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"_n.{n}") for c, n in zip("xyz", "ijk", strict=True)}).drop("_n")
-    a, b = cell.alias("a"), around.alias("b")
+    a, b = cell.alias("a").hint("merge"), around.alias("b").hint("merge")
     x, y = F.col(f"a.{id_col}"), F.col(f"b.{id_col}")
     first = x.cast("string") < y.cast("string")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("cx", "cy", "cz", *keys)]

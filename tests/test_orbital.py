@@ -81,3 +81,13 @@ def test_range_join_equals_brute_force(spark):
 def test_unknown_risk_is_not_critical(spark):
     got = spark.createDataFrame([(None,), (float("nan"),), (2e-4,), (1e-4,), (1e-9,)], "p double").select(F.expr(f.risk("p")).alias("r")).collect()
     assert [x["r"] for x in got] == ["UNKNOWN", "UNKNOWN", "CRITICAL", "HIGH", "LOW"]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_range_join_is_shuffled_however_small_its_estimate(spark):
+    points = spark.range(50).selectExpr("id", "id * 1e0 AS x", "0e0 AS y", "0e0 AS z")
+    near = spatial.range_self_join(points, 1.5)
+    assert "Broadcast" not in plan(near) and near.count() == 49
