@@ -91,3 +91,9 @@ def test_range_join_is_shuffled_however_small_its_estimate(spark):
     points = spark.range(50).selectExpr("id", "id * 1e0 AS x", "0e0 AS y", "0e0 AS z")
     near = spatial.range_self_join(points, 1.5)
     assert "Broadcast" not in plan(near) and near.count() == 49
+
+
+def test_closest_samples_are_shuffled(spark):
+    tracks = spark.range(20).selectExpr("id", "explode(sequence(0, 2)) AS step").selectExpr("id", "step", "id * (3e0 - step) AS x", "0e0 AS y", "0e0 AS z")
+    best = spatial.closest_samples(tracks, 1.5)
+    assert "Broadcast" not in plan(best) and {tuple(r)[2:] for r in best.where("cast(id_b AS int) - cast(id_a AS int) IN (-1, 1)").collect()} == {(2, 1.0)}
