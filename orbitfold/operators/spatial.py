@@ -42,6 +42,11 @@ def range_self_join(points: DataFrame, radius: float, id_col: str = "id", keys:
     return met.select(F.when(first, x).otherwise(y).alias("id_a"), F.when(first, y).otherwise(x).alias("id_b"), *(F.col(f"a.{k}").alias(k) for k in keys), d.alias("dist"))
 
 
+def pairs_between(points: DataFrame, low: float, high: float, id_col: str = "id") -> DataFrame:
+    """The pairs of ``range_self_join`` within ``high`` that one within ``low`` does not have: one join, told by the distance."""
+    return range_self_join(points, high, id_col).where(F.col("dist") > low)
+
+
 def upsert(points: DataFrame, changes: DataFrame, id_col: str = "id") -> DataFrame:
     """``points`` with the rows of ``changes`` in place of those with the same id."""
     return points.join(changes.select(id_col), id_col, "left_anti").unionByName(changes.select(*points.columns))

@@ -97,3 +97,11 @@ def test_closest_samples_are_shuffled(spark):
     tracks = spark.range(20).selectExpr("id", "explode(sequence(0, 2)) AS step").selectExpr("id", "step", "id * (3e0 - step) AS x", "0e0 AS y", "0e0 AS z")
     best = spatial.closest_samples(tracks, 1.5)
     assert "Broadcast" not in plan(best) and {tuple(r)[2:] for r in best.where("cast(id_b AS int) - cast(id_a AS int) IN (-1, 1)").collect()} == {(2, 1.0)}
+
+
+def test_pairs_lost_by_a_smaller_reach_come_from_one_join(spark):
+    points = spark.range(60).selectExpr("id", "id * id % 41 * 1e0 AS x", "id * 7 % 13 * 1e0 AS y", "0e0 AS z")
+    pairs = lambda r: spatial.range_self_join(points, r).select("id_a", "id_b")
+    want = sorted(map(tuple, pairs(9.0).exceptAll(pairs(5.0)).collect()))
+    assert want and sorted(map(tuple, spatial.pairs_between(points, 5.0, 9.0).select("id_a", "id_b").collect())) == want
+    assert plan(QUERIES["o5_pairs_lost_by_a_smaller_reach"](spark, SF)).count("SortMergeJoin") == 1
