@@ -121,7 +121,7 @@ def _s13(spark, sf):
 
 
 def _lines(spark, sf) -> DataFrame:
-    c = syn.catalog(spark, sf).withColumns({"id": F.col("ordinal") % 100000, "yy": (F.col("ordinal") % 30).cast("int"), "doy": F.expr("1e0 + ordinal % 365 + (ordinal % 8) / 8e0")})
+    c = syn.catalog(spark, sf).withColumns({"id": F.lpad("norad_id", 5, "0").cast("int"), "yy": (F.col("ordinal") % 30).cast("int"), "doy": F.expr("1e0 + ordinal % 365 + (ordinal % 8) / 8e0")})
     t = tle.format_lines(c)
     return t.withColumn("line2", F.when(F.col("ordinal") % 10 == 3, F.concat(F.substring("line2", 1, 68), ((F.substring("line2", 69, 1).cast("int") + 1) % 10).cast("string"))).when(F.col("ordinal") % 10 == 7, F.substring("line2", 1, 60)).otherwise(F.col("line2")))
 

@@ -105,3 +105,17 @@ def test_pairs_lost_by_a_smaller_reach_come_from_one_join(spark):
     want = sorted(map(tuple, pairs(9.0).exceptAll(pairs(5.0)).collect()))
     assert want and sorted(map(tuple, spatial.pairs_between(points, 5.0, 9.0).select("id_a", "id_b").collect())) == want
     assert plan(QUERIES["o5_pairs_lost_by_a_smaller_reach"](spark, SF)).count("SortMergeJoin") == 1
+
+
+def equals_sql_beyond_five_digits(spark, tmp_path, name):
+    import duckdb
+
+    keys = [*range(100), *range(99_990, 100_030), *range(123_450, 123_470), *range(899_980, 900_000)]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(ORACLE_SQL[name]).df())
+
+
+def test_messages_of_lines_beyond_five_digits(spark, tmp_path):
+    equals_sql_beyond_five_digits(spark, tmp_path, "p8_lines_to_messages")
