@@ -119,3 +119,7 @@ def equals_sql_beyond_five_digits(spark, tmp_path, name):
 
 def test_messages_of_lines_beyond_five_digits(spark, tmp_path):
     equals_sql_beyond_five_digits(spark, tmp_path, "p8_lines_to_messages")
+
+
+def test_loaded_lines_beyond_five_digits(spark, tmp_path):
+    equals_sql_beyond_five_digits(spark, tmp_path, "s1_load_lines_relaxed")
