@@ -123,3 +123,7 @@ def test_messages_of_lines_beyond_five_digits(spark, tmp_path):
 
 def test_loaded_lines_beyond_five_digits(spark, tmp_path):
     equals_sql_beyond_five_digits(spark, tmp_path, "s1_load_lines_relaxed")
+
+
+def test_grouped_lines_beyond_five_digits(spark, tmp_path):
+    equals_sql_beyond_five_digits(spark, tmp_path, "s2_group_tle_lines")
