@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from orbitfold.functions import formulas as f
 from orbitfold.operators import spatial
 from orbitfold.plans import ORACLE_SQL, QUERIES
-from orbitfold.sources import tle
+from orbitfold.sources import cdm_xml, tle
 
 SF = "/root/testdata/sf0.001"
 ISS = ("1 25544U 98067A   21001.00000000  .00001480  00000-0  34282-4 0  9990", "2 25544  51.6442 165.4300 0001363 118.2800 241.8400 15.48922536260000")
@@ -127,3 +127,10 @@ def test_loaded_lines_beyond_five_digits(spark, tmp_path):
 
 def test_grouped_lines_beyond_five_digits(spark, tmp_path):
     equals_sql_beyond_five_digits(spark, tmp_path, "s2_group_tle_lines")
+
+
+def test_cdm_xml_is_scanned_once_for_all_keys(spark):
+    parsed = cdm_xml.parse_xml(spark.createDataFrame([("<CDM><OBJECT1><X>1 <Z>3</Z> <X>2</X><Y></Y><Y>4</Y><OBJECT_NAME>A&amp;B</OBJECT_NAME></OBJECT1></CDM>",)], "xml string"))
+    assert parsed._jdf.queryExecution().analyzed().toString().count("COLLISION_PROBABILITY") < 10
+    r = parsed.first()
+    assert r["reason"] == "BAD_NUMBER" and r["object_1"]["name"] == "A&B" and r["object_1"]["state"][:3] == [None, 0.0, 3.0]
