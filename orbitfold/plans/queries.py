@@ -126,6 +126,12 @@ def _lines(spark, sf) -> DataFrame:
     return t.withColumn("line2", F.when(F.col("ordinal") % 10 == 3, F.concat(F.substring("line2", 1, 68), ((F.substring("line2", 69, 1).cast("int") + 1) % 10).cast("string"))).when(F.col("ordinal") % 10 == 7, F.substring("line2", 1, 60)).otherwise(F.col("line2")))
 
 
+def numbered(rows: DataFrame, name) -> DataFrame:
+    """(file, lineno, line): the name and both lines of each row; rows of one id are in one file, one after the other."""
+    lines = rows.withColumn("_row", F.monotonically_increasing_id()).select("ordinal", "_row", F.posexplode(F.array(name, "line1", "line2")).alias("_p", "line"))
+    return lines.select(F.col("ordinal").alias("file"), (F.col("_row") * 3 + F.col("_p")).alias("lineno"), "line")
+
+
 @query("p1_parse_tle", _CAT + """SELECT ordinal, CASE WHEN ordinal % 10 = 3 THEN 'L2_CHECKSUM' WHEN ordinal % 10 = 7 THEN 'L2_LENGTH' END AS reason,
  CASE WHEN ordinal % 10 NOT IN (3, 7) THEN round(inclination, 4) END AS inclination, CASE WHEN ordinal % 10 NOT IN (3, 7) THEN round(eccentricity, 7) END AS eccentricity, CASE WHEN ordinal % 10 NOT IN (3, 7) THEN round(mean_motion, 6) END AS mean_motion,
  CASE WHEN ordinal % 10 NOT IN (3, 7) THEN epoch_us(make_timestamp(2000 + ordinal % 30, 1, 1, 0, 0, 0)) + (ordinal % 365) * 86400000000 + (ordinal % 8) * 10800000000 END AS epoch_us FROM c""")

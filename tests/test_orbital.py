@@ -129,6 +129,17 @@ def test_grouped_lines_beyond_five_digits(spark, tmp_path):
     equals_sql_beyond_five_digits(spark, tmp_path, "s2_group_tle_lines")
 
 
+@pytest.mark.parametrize("name", ["s1_load_lines_relaxed"])
+def test_lines_of_repeated_ids(spark, tmp_path, name):
+    import duckdb
+
+    keys = [*range(40), *range(30), *range(25), 15, 15]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(ORACLE_SQL[name]).df())
+
+
 def test_cdm_xml_is_scanned_once_for_all_keys(spark):
     parsed = cdm_xml.parse_xml(spark.createDataFrame([("<CDM><OBJECT1><X>1 <Z>3</Z> <X>2</X><Y></Y><Y>4</Y><OBJECT_NAME>A&amp;B</OBJECT_NAME></OBJECT1></CDM>",)], "xml string"))
     assert parsed._jdf.queryExecution().analyzed().toString().count("COLLISION_PROBABILITY") < 10
