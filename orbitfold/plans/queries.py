@@ -142,8 +142,7 @@ def _p1(spark, sf):
 
 @query("s2_group_tle_lines", _CAT + "SELECT CASE WHEN ordinal % 10 = 5 THEN 'NORAD-' || lpad(norad_id, 5, '0') ELSE 'SAT ' || norad_id END AS name FROM c WHERE ordinal % 10 NOT IN (3, 7)")
 def _s2(spark, sf):
-    rows = _lines(spark, sf).select("ordinal", F.posexplode(F.array(F.when(F.col("ordinal") % 10 != 5, F.concat(F.lit("SAT "), "norad_id")), "line1", "line2")).alias("p", "line")).where("line IS NOT NULL")
-    lines = rows.select(F.col("ordinal").alias("file"), F.col("p").alias("lineno"), "line")
+    lines = numbered(_lines(spark, sf), F.when(F.col("ordinal") % 10 != 5, F.concat(F.lit("SAT "), "norad_id"))).where("line IS NOT NULL")
     return tle.parse(tle.group_lines(lines)).where("reason IS NULL").select("name")
 
 

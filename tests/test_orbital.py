@@ -129,7 +129,7 @@ def test_grouped_lines_beyond_five_digits(spark, tmp_path):
     equals_sql_beyond_five_digits(spark, tmp_path, "s2_group_tle_lines")
 
 
-@pytest.mark.parametrize("name", ["s1_load_lines_relaxed"])
+@pytest.mark.parametrize("name", ["s1_load_lines_relaxed", "s2_group_tle_lines"])
 def test_lines_of_repeated_ids(spark, tmp_path, name):
     import duckdb
 
