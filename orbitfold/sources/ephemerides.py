@@ -54,13 +54,19 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(x, "\t", " ")))
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns computed once a row: through a generator, else each use, in a lambda each element, repeats them."""
+    made = rows.withColumn("_once", F.explode(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))
+    return made.withColumns({k: F.col(f"_once.{k}") for k in columns}).drop("_once")
+
+
 def _states(rows: DataFrame, keep: list[str], states: Column, empty: Column) -> DataFrame:
     """One row a state, by time; a text with a reason, or none of whose states can be read, has one row with the reason.
 
     The reason goes through the generator too: so a filter on it stays above, and does not repeat the whole parsing.
     """
-    out = rows.withColumn("_s", states).withColumn("_bad", F.filter("_s", lambda s: s["reason"].isNotNull()))
-    out = out.withColumn("_why", F.coalesce(empty, F.try_element_at("_bad", F.lit(1))["reason"], F.when(F.size("_s") == 0, F.lit("NO_STATES"))))
+    out = _once(rows, _s=states, _empty=empty).withColumn("_bad", F.filter("_s", lambda s: s["reason"].isNotNull()))
+    out = out.withColumn("_why", F.coalesce("_empty", F.try_element_at("_bad", F.lit(1))["reason"], F.when(F.size("_s") == 0, F.lit("NO_STATES"))))
     none = F.struct(F.lit(None).cast("long").alias("t_us"), *(F.lit(None).cast("double").alias(n) for n in NAMES), F.col("_why").alias("reason"))
     out = out.withColumn("_rows", F.when(F.col("_why").isNotNull(), F.array(none)).otherwise(F.sort_array("_s")))
     out = out.select(*keep, F.posexplode("_rows").alias("_k", "_s"))
@@ -140,14 +146,14 @@ def parse_stk(files: DataFrame, text: str = "text") -> DataFrame:
     """
     keep = [c for c in files.columns if c != text]
     body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?m)^[ \t]*#.*$", "")
-    rows = files.withColumn("_t", F.concat(F.ltrim(F.regexp_replace(body, r"^\s+", "")), F.lit("\n")))
+    rows = _once(files, _t=F.concat(F.ltrim(F.regexp_replace(body, r"^\s+", "")), F.lit("\n")))
     # cut by the marks first, so that only the rows of states are split into lines and fields
     inside = F.regexp_extract("_t", r"(?is)\n\s*BEGIN Ephemeris[^\n]*\n(.*?)(?=\n\s*END Ephemeris|\z)", 1)
-    rows = rows.withColumn("_in", F.concat(F.lit("\n"), inside))
-    epoch = stk_epoch_us(F.regexp_extract("_in", r"(?i)\n\s*ScenarioEpoch[ \t]+([^\n]*)", 1))
+    rows = _once(rows, _in=F.concat(F.lit("\n"), inside))
+    epoch = F.regexp_extract("_in", r"(?i)\n\s*ScenarioEpoch[ \t]+([^\n]*)", 1)
     data = F.regexp_extract("_in", r"(?is)\n\s*EphemerisTimePosVel[^\n]*\n(.*?)(?=\n\s*CovarianceTimePosVel|\z)", 1)
-    rows = rows.withColumn("_e", epoch).withColumn("_d", F.split(data, r"\r?\n"))
-    rows = rows.withColumn("_n", F.transform("_d", lambda x: F.transform(F.slice(F.split(F.trim(F.regexp_replace(x, "\t", " ")), " +"), 1, 7), lambda v: v.try_cast("double"))))
+    rows = _once(rows, _head=epoch, _d=F.split(data, r"\r?\n"))
+    rows = _once(rows, _e=stk_epoch_us(F.col("_head")), _n=F.transform("_d", lambda x: F.transform(F.slice(F.split(F.trim(F.regexp_replace(x, "\t", " ")), " +"), 1, 7), lambda v: v.try_cast("double"))))
     rows = rows.withColumn("_n", F.filter("_n", lambda n: (F.size(n) == 7) & F.forall(n, lambda v: v.isNotNull())))
     states = F.transform("_n", lambda n: F.struct((F.col("_e") + F.round(n[0] * 1e6).cast("long")).alias("t_us"), *(n[i + 1].alias(c) for i, c in enumerate(NAMES)), F.lit(None).cast("string").alias("reason")))
     empty = F.when(F.trim("_t") == "\n", F.lit("EMPTY")).when(~F.lower("_t").startswith("stk.v"), F.lit("NOT_STK")).when(F.col("_e").isNull(), F.lit("MISSING_EPOCH"))

@@ -140,6 +140,11 @@ def test_lines_of_repeated_ids(spark, tmp_path, name):
     assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(ORACLE_SQL[name]).df())
 
 
+def test_stk_text_is_cut_once(spark):
+    parsed = QUERIES["s5_stk_ephemeris"](spark, SF)
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("ScenarioEpoch[ ") == 1
+
+
 def test_cdm_xml_is_scanned_once_for_all_keys(spark):
     parsed = cdm_xml.parse_xml(spark.createDataFrame([("<CDM><OBJECT1><X>1 <Z>3</Z> <X>2</X><Y></Y><Y>4</Y><OBJECT_NAME>A&amp;B</OBJECT_NAME></OBJECT1></CDM>",)], "xml string"))
     assert parsed._jdf.queryExecution().analyzed().toString().count("COLLISION_PROBABILITY") < 10
