@@ -3,7 +3,9 @@
 import glob
 import math
 import os
+import re
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +152,26 @@ def test_cdm_xml_is_scanned_once_for_all_keys(spark):
     assert parsed._jdf.queryExecution().analyzed().toString().count("COLLISION_PROBABILITY") < 10
     r = parsed.first()
     assert r["reason"] == "BAD_NUMBER" and r["object_1"]["name"] == "A&B" and r["object_1"]["state"][:3] == [None, 0.0, 3.0]
+
+
+def tracks_sent(spark, name):
+    return re.findall(r"\bp#\d+", plan(QUERIES[name](spark, SF)))
+
+
+def test_windows_are_found_without_sending_tracks(spark):
+    assert not tracks_sent(spark, "w1_conjunction_windows")
+
+
+def test_small_chunks_find_the_same_pairs_and_no_object_meets_itself(spark, monkeypatch):
+    from orbitfold.operators import conjunctions as conj
+
+    states = [(str(k % 90), [7000.0 + k * 7 % 31 + s * (k % 5), s * (k % 7), k * 11 % 37.0], [1.0, 0.0, 0.0]) for k in range(100) for s in (0.0,)]
+    data = [(i, [c for s in range(4) for c in (p[0] + s * v[0], p[1] + s, p[2])], v * 4, True) for i, p, v in states]
+    tracks = spark.createDataFrame(data, "id string, p array<double>, v array<double>, good boolean")
+    found = lambda: sorted((r["id_a"], r["id_b"], round(r["miss_km"], 6)) for r in conj.find_conjunctions(tracks, [k * 1_000_000 for k in range(4)], 4.0, orbits=False).collect())
+    want = found()
+    at = [np.array(x[1]).reshape(4, 3) for x in data]
+    near = [(i, j) for i in range(100) for j in range(i) if data[i][0] != data[j][0] and np.linalg.norm(at[i] - at[j], axis=1).min() <= 4.0]
+    assert len(want) == len(near) > 50
+    monkeypatch.setattr(conj, "CHUNK", 3), monkeypatch.setattr(conj, "MOST", 16), monkeypatch.setattr(conj, "TILE", 5)
+    assert found() == want
