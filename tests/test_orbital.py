@@ -175,3 +175,7 @@ def test_small_chunks_find_the_same_pairs_and_no_object_meets_itself(spark, monk
     assert len(want) == len(near) > 50
     monkeypatch.setattr(conj, "CHUNK", 3), monkeypatch.setattr(conj, "MOST", 16), monkeypatch.setattr(conj, "TILE", 5)
     assert found() == want
+
+
+def test_events_are_found_once_and_without_sending_tracks(spark):
+    assert plan(QUERIES["c1_scored_events"](spark, SF)).count("MapInArrow") == 3 and not tracks_sent(spark, "c1_scored_events")
