@@ -179,3 +179,10 @@ def test_small_chunks_find_the_same_pairs_and_no_object_meets_itself(spark, monk
 
 def test_events_are_found_once_and_without_sending_tracks(spark):
     assert plan(QUERIES["c1_scored_events"](spark, SF)).count("MapInArrow") == 3 and not tracks_sent(spark, "c1_scored_events")
+
+
+
+
+
+def test_catalog_is_swept_without_sending_tracks(spark):
+    assert not tracks_sent(spark, "g6_sweep_catalog")
