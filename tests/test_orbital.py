@@ -181,6 +181,9 @@ def test_events_are_found_once_and_without_sending_tracks(spark):
     assert plan(QUERIES["c1_scored_events"](spark, SF)).count("MapInArrow") == 3 and not tracks_sent(spark, "c1_scored_events")
 
 
+def test_conjunctions_of_lines_are_found_without_sending_tracks(spark):
+    assert not tracks_sent(spark, "c1_conjunctions_of_lines")
+
 
 
 
