@@ -185,6 +185,9 @@ def test_conjunctions_of_lines_are_found_without_sending_tracks(spark):
     assert not tracks_sent(spark, "c1_conjunctions_of_lines")
 
 
+def test_closest_approaches_by_splines_are_found_without_sending_tracks(spark):
+    assert not tracks_sent(spark, "w3_closest_approach_by_splines")
+
 
 
 def test_catalog_is_swept_without_sending_tracks(spark):
