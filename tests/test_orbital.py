@@ -189,6 +189,9 @@ def test_closest_approaches_by_splines_are_found_without_sending_tracks(spark):
     assert not tracks_sent(spark, "w3_closest_approach_by_splines")
 
 
+def test_events_by_miss_are_found_without_sending_tracks(spark):
+    assert not tracks_sent(spark, "o1_events_by_miss")
+
 
 def test_catalog_is_swept_without_sending_tracks(spark):
     assert not tracks_sent(spark, "g6_sweep_catalog")
