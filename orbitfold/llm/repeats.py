@@ -5,8 +5,10 @@ previous factor of some suffix before it is at least LENGTH. A suffix array of t
 times over, so suffixes first meet by content: each window of LENGTH bytes has a minimizer, the least hash of its K-byte
 strings, and equal windows have equal ones, however far apart they are.
 
-1. Documents are packed into blocks of bounded size and written once.
-2. Each block sends its minimizers' hashes, with counts, to buckets; buckets answer which occur more than once.
+1. Documents are packed into compressed blocks of bounded size and written once. A document whose whole text an earlier
+   one has is removed whole and sends nothing more: its windows are all in that one. Texts are equal by SHA-256.
+2. Each block sends 32 bits of its minimizers' hashes, with counts, to buckets; buckets answer which occur more than
+   once. That two differ but agree in bucket and bits only sends contexts in vain.
 3. Blocks send, for these alone, the bytes of the windows around them. What repeats inside a block is settled there, so
    a passage that a third of all documents have is sent once for each block. Windows around a very frequent minimizer
    are sent one by one to buckets of their own content, so no bucket depends on one minimizer; with many blocks these
@@ -16,8 +18,8 @@ strings, and equal windows have equal ones, however far apart they are.
    prefix with these two is the longest previous factor (to LENGTH), and where it is LENGTH the window has a match.
 5. The matched ranges go back to their blocks, which remove them.
 
-Hashes only bring candidates together: equal windows always have the same minimizer, as it depends on their bytes
-alone, and every match rests on compared bytes or ranks.
+Hashes of windows only bring candidates together: equal windows always have the same minimizer, as it depends on their
+bytes alone, and every match inside texts rests on compared bytes or ranks.
 """
 
 from __future__ import annotations
@@ -31,11 +33,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import U64, Rolling, integer_id, materialize, mix, ship, slices, utf8_view
+from .common import U64, Rolling, integer_id, materialize, mix, row_blocks, ship, slices, utf8_view
 
 LENGTH, K = 100, 32
-BLOCK = 2 << 20
+BLOCK = 4 << 20
+#: Bytes of a block that one vectorised step works on.
+STEP = 2 << 20
 #: Occurrences from which a minimizer's windows are dealt by their own content.
 HOT = 2000
 #: Blocks whose very frequent windows are settled together, and bytes of text for a bucket.
@@ -53,16 +58,18 @@ def unpack(b: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(b)
 
 
-def minimizers(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = K):
+def minimizers(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = K, skip: np.ndarray | None = None):
     """(hash, occurrences, first window, last window) of each run of windows with one minimizer, and the rolling hashes.
 
-    Windows never cross texts. A run may hold several occurrences of its minimizer, as in a periodic text; so a long
+    Windows never cross texts; those of texts in ``skip`` are left out. A run may hold several occurrences of its minimizer, as in a periodic text; so a long
     stretch of one period is one run.
     """
     n = len(data)
     none = np.zeros(0, np.int64)
-    if n < length:
-        return np.zeros(0, U64), none, none, none, Rolling(data)
+    size = np.diff(off)
+    long = size >= length if skip is None else (size >= length) & ~skip
+    if not long.any():
+        return np.zeros(0, U64), none, none, none, Rolling(data[:0])
     roll = Rolling(data)
     h = roll.windows(k)
     v = ((h >> PLACE) << PLACE) | np.arange(len(h), dtype=U64)
@@ -73,8 +80,6 @@ def minimizers(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int =
     if width < span:
         v = np.minimum(v[: len(v) - (span - width)], v[span - width :])
     valid = np.zeros(n + 1, np.int32)
-    size = np.diff(off)
-    long = size >= length
     np.add.at(valid, off[:-1][long], 1)
     np.add.at(valid, off[:-1][long] + size[long] - length + 1, -1)
     start = np.flatnonzero(np.cumsum(valid)[: len(v)] > 0)
@@ -240,22 +245,65 @@ def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _blocks(block: int):
+def _texts(data: np.ndarray, off: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, list[dict]]:
+    """Begin and end of texts of which the block has an equal one of a smaller id, and digest and place of the others.
+
+    Shorter texts than ``length`` lose nothing and are in neither.
+    """
+    long = np.flatnonzero(np.diff(off) >= length)
+    digests = [hashlib.sha256(data[off[i] : off[i + 1]]).digest() for i in long]
+    least: dict[bytes, int] = {}
+    for i, d in zip(ids[long].tolist(), digests, strict=True):
+        least[d] = min(least.get(d, i), i)
+    copied, firsts = [], []
+    for i, d in zip(long.tolist(), digests, strict=True):
+        begin, end, own = int(off[i]), int(off[i + 1]), int(ids[i])
+        if own > least[d]:
+            copied.append((begin, end))
+        else:
+            firsts.append({"digest": d, "id": own, "span": (begin << 32) | end})
+    return np.array(copied, np.int32).reshape(-1, 2), firsts
+
+
+_BLOCK = "block long, ids binary, nulls binary, off binary, data binary, copied binary, size long, firsts array<struct<digest: binary, id: long, span: long>>"
+_FIRSTS = pa.list_(pa.struct([("digest", pa.binary()), ("id", pa.int64()), ("span", pa.int64())]))
+
+
+def _blocks(block: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
         for b in slices(batches, "text", block):
             data, off = utf8_view(b.column(1))
             ids = b.column(0).fill_null(LAST).to_numpy(zero_copy_only=False).astype("<i8")
             nulls = b.column(0).is_null().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | n], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([nulls.tobytes()], pa.binary()), pa.array([off.astype("<i8").tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()), pa.array([len(data)], pa.int64())], ["block", "ids", "nulls", "off", "data", "size"])
+            copied, firsts = _texts(data, off, ids, length)
+            held = (ids.tobytes(), nulls.tobytes(), off.astype("<i8").tobytes(), pack(data.tobytes()), copied.tobytes())
+            columns = [pa.array([(part << 32) | n], pa.int64()), *(pa.array([x], pa.binary()) for x in held), pa.array([len(data)], pa.int64()), pa.array([firsts], _FIRSTS)]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "nulls", "off", "data", "copied", "size", "firsts"])
             n += 1
 
     return run
 
 
 def _load(b: pa.RecordBatch, i: int):
+    """Ids, offsets and bytes of a block, and begin and end of its texts that are copies of earlier ones."""
     f = lambda name, kind: np.frombuffer(b.column(b.schema.get_field_index(name))[i].as_buffer(), kind)
-    return f("ids", "<i8"), f("off", "<i8"), f("data", np.uint8)
+    far = np.array(b.column(b.schema.get_field_index("copies"))[i].as_py() or [], np.int64)
+    copies = np.concatenate((f("copied", "<i4").reshape(-1, 2), np.stack([far >> 32, far & (2**32 - 1)], 1).astype(np.int32)))
+    return f("ids", "<i8"), f("off", "<i8"), np.frombuffer(unpack(f("data", np.uint8)), np.uint8), copies
+
+
+def _steps(data: np.ndarray, off: np.ndarray, copies: np.ndarray, length: int, k: int, step: int):
+    """Where each part of a block begins, and the minimizers of its texts that are no copies."""
+    skip = np.zeros(len(off) - 1, bool)
+    skip[np.searchsorted(off, copies[:, 0], side="right") - 1] = True
+    for i, j in row_blocks(off, step):
+        yield off[i], minimizers(data[off[i] : off[j]], off[i : j + 1] - off[i], length, k, skip[i:j])
+
+
+def _places(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each minimizer, and 32 bits of its hash below."""
+    return ((mix(h) % U64(buckets)) << U64(32)) | (h & U64(2**32 - 1))
 
 
 def _deal(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
@@ -266,16 +314,18 @@ def _deal(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     return [(int(bucket[p[0]]), p) for p in np.split(order, cut) if len(p)]
 
 
-def _send(buckets: int, length: int, k: int):
+def _send(buckets: int, length: int, k: int, step: int):
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                _, off, data = _load(b, i)
-                h, n = minimizers(data, off, length, k)[:2]
-                h, which = np.unique(h, return_inverse=True)
-                n = np.minimum(np.bincount(which, n, len(h)), 2**31)
-                dealt = _deal(h, buckets)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in dealt], pa.int32()), pa.array([b.column(0)[i].as_py()] * len(dealt), pa.int64()), pa.array([h[p].tobytes() + n[p].astype("<u4").tobytes() for _, p in dealt], pa.binary())], ["bucket", "block", "held"])
+                _, off, data, copies = _load(b, i)
+                found = [m[:2] for _, m in _steps(data, off, copies, length, k, step)]
+                h, which = np.unique(_places(np.concatenate([np.zeros(0, U64), *(x for x, _ in found)]), buckets), return_inverse=True)
+                n = np.minimum(np.bincount(which, np.concatenate([np.zeros(0, np.int64), *(x for _, x in found)]), len(h)), 2**31).astype("<u4")
+                bucket, low = (h >> U64(32)).astype(np.int32), h.astype("<u4")
+                first = np.flatnonzero(np.diff(bucket, prepend=-1))
+                held = [low[p:q].tobytes() + n[p:q].tobytes() for p, q in zip(first, np.append(first, len(h))[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([b.column(0)[i].as_py()] * len(first), pa.int64()), pa.array(held, pa.binary())], ["bucket", "block", "held"])
 
     return run
 
@@ -295,13 +345,13 @@ def _by_key(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tup
 
 
 def _answer(hot: int):
-    """Which minimizers occur more than once, for each block: hashes, and whether they are very frequent."""
+    """Which minimizers occur more than once, for each block: bucket, hashes, and whether they are very frequent."""
 
     def run(batches):
-        for _, rows in _by_key(batches, 1):
-            count = [len(held) // 12 for _, held in rows]
-            h = np.concatenate([np.frombuffer(x, "<u8", m) for (_, x), m in zip(rows, count, strict=True)])
-            n = np.concatenate([np.frombuffer(x, "<u4", m, 8 * m) for (_, x), m in zip(rows, count, strict=True)]).astype(np.int64)
+        for (bucket,), rows in _by_key(batches, 1):
+            count = [len(held) // 8 for _, held in rows]
+            h = np.concatenate([np.frombuffer(x, "<u4", m) for (_, x), m in zip(rows, count, strict=True)])
+            n = np.concatenate([np.frombuffer(x, "<u4", m, 4 * m) for (_, x), m in zip(rows, count, strict=True)]).astype(np.int64)
             order = np.argsort(h, kind="stable")
             head = np.concatenate(([True], np.diff(h[order]) != 0))
             total = np.zeros(len(h), np.int64)
@@ -311,14 +361,23 @@ def _answer(hot: int):
             for (block, _), i, j in zip(rows, cut - count, cut, strict=True):
                 keep = total[i:j] > 1
                 if keep.any():
-                    out.append((block, h[i:j][keep].tobytes() + (total[i:j][keep] >= hot).tobytes()))
+                    out.append((block, np.array([bucket], "<u4").tobytes() + h[i:j][keep].tobytes() + (total[i:j][keep] >= hot).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["block", "held"])
 
     return run
 
 
 def _packed(head: np.ndarray, data: np.ndarray) -> bytes:
-    return pack(head.tobytes() + data.tobytes() + np.int64(len(head)).tobytes())
+    return pack(b"".join(head[name].tobytes() for name in head.dtype.names) + data.tobytes() + np.int64(len(head)).tobytes())
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = unpack(packed)
+    head, at = np.empty(int(np.frombuffer(x, "<i8", 1, len(x) - 8)[0]), Contexts.HEAD), 0
+    for name in head.dtype.names:
+        head[name] = np.frombuffer(x, head.dtype[name], len(head), at)
+        at += head[name].nbytes
+    return head, np.frombuffer(x, np.uint8, len(x) - 8 - at, at)
 
 
 _SENT = ["bucket", "salt", "block", "contexts", "spans"]
@@ -329,7 +388,7 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], _SENT)
 
 
-def _contexts(buckets: int, salts: int, length: int, k: int):
+def _contexts(buckets: int, salts: int, length: int, k: int, step: int):
     def run(batches):
         for b in batches:
             answers = b.column(b.schema.get_field_index("held"))
@@ -337,19 +396,23 @@ def _contexts(buckets: int, salts: int, length: int, k: int):
                 held = answers[i].as_py()
                 if not held:
                     continue
-                ids, off, data = _load(b, i)
+                ids, off, data, copies = _load(b, i)
                 block = b.column(0)[i].as_py()
-                h, w, lo, hi, roll = minimizers(data, off, length, k)
-                known = np.concatenate([np.frombuffer(x, "<u8", len(x) // 9) for x in held])
-                warm = np.concatenate([np.frombuffer(x, bool, len(x) // 9, 8 * (len(x) // 9)) for x in held])
+                size = [(len(x) - 4) // 5 for x in held]
+                known = np.concatenate([(np.frombuffer(x, "<u4", 1).astype(U64) << U64(32)) | np.frombuffer(x, "<u4", m, 4) for x, m in zip(held, size, strict=True)])
+                warm = np.concatenate([np.frombuffer(x, bool, m, 4 + 4 * m) for x, m in zip(held, size, strict=True)])
                 order = np.argsort(known)
                 known, warm = known[order], warm[order]
-                slot = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                keep = known[slot] == h
-                h, w, lo, hi, hot = h[keep], w[keep], lo[keep], hi[keep], warm[slot[keep]]
-                # very frequent ones: each window by itself, under its own hash; of equal ones of a text the first
-                single = spread(lo[hot], hi[hot] - lo[hot] + 1)
-                whole = roll.of(single, single + length)
+                parts = []
+                for base, (h, w, lo, hi, roll) in _steps(data, off, copies, length, k, step):
+                    place = _places(h, buckets)
+                    slot = np.minimum(np.searchsorted(known, place), len(known) - 1)
+                    keep = known[slot] == place
+                    h, w, lo, hi, hot = h[keep], w[keep], lo[keep], hi[keep], warm[slot[keep]]
+                    # very frequent ones: each window by itself, under its own hash; of equal ones of a text the first
+                    single, cold = spread(lo[hot], hi[hot] - lo[hot] + 1), ~hot
+                    parts.append((h[cold], w[cold], base + lo[cold], base + hi[cold], roll.of(lo[cold], hi[cold] + length), base + single, roll.of(single, single + length)))
+                h, w, lo, hi, alike, single, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
                 text = np.searchsorted(off, single, side="right") - 1
                 order = np.lexsort((single, whole, text))
                 x, y = order[1:], order[:-1]
@@ -358,14 +421,14 @@ def _contexts(buckets: int, salts: int, length: int, k: int):
                 gone = [single[at]]
                 left = np.ones(len(single), bool)
                 left[at] = False
-                single, whole, cold = single[left], whole[left], ~hot
-                begin, end = np.concatenate((lo[cold], single)), np.concatenate((hi[cold], single))
+                single, whole = single[left], whole[left]
+                begin, end = np.concatenate((lo, single)), np.concatenate((hi, single))
                 doc = np.searchsorted(off, begin, side="right") - 1
                 head = np.zeros(len(begin), Contexts.HEAD)
-                head["key"], head["hash"] = np.concatenate((h[cold], whole)), np.concatenate((roll.of(lo[cold], hi[cold] + length), whole))
+                head["key"], head["hash"] = np.concatenate((h, whole)), np.concatenate((alike, whole))
                 head["doc"], head["start"], head["n"], head["at"], head["w"] = ids[doc], begin - off[doc], end - begin + 1, begin, 1
-                n_cold = int(cold.sum())
-                head["w"][:n_cold] = np.minimum(w[cold], 2)
+                n_cold = len(h)
+                head["w"][:n_cold] = np.minimum(w, 2)
                 c = Contexts(head, data, length, begin)
                 order, _, later = c.settle()
                 dropped = order[later]
@@ -390,13 +453,10 @@ def _match(length: int, most: int = 8 << 20):
     def run(batches):
         for (bucket, salt), rows in _by_key(batches, 2):
             out = [(bucket, -1, block, b"", spans) for block, _, spans in rows if spans]
-            rows = [(block, unpack(x)) for block, x, _ in rows if x]
+            rows = [(block, *_unpacked(x)) for block, x, _ in rows if x]
             if rows:
-                count = [int(np.frombuffer(x, "<i8", 1, len(x) - 8)[0]) for _, x in rows]
-                size = Contexts.HEAD.itemsize
-                head = np.concatenate([np.frombuffer(x, Contexts.HEAD, m) for (_, x), m in zip(rows, count, strict=True)])
-                data = np.concatenate([np.frombuffer(x, np.uint8, len(x) - 8 - m * size, m * size) for (_, x), m in zip(rows, count, strict=True)])
-                blocks = [block for block, _ in rows]
+                blocks, count = [block for block, _, _ in rows], [len(x) for _, x, _ in rows]
+                head, data = np.concatenate([x for _, x, _ in rows]), np.concatenate([x for _, _, x in rows])
                 del rows
                 owner = np.repeat(np.arange(len(blocks)), count)
                 c = Contexts(head, data, length)
@@ -451,32 +511,39 @@ def _cut(key: np.ndarray, size: np.ndarray, most: int) -> Iterator[slice]:
         i = j
 
 
-def _remove(keep_text: bool):
+def _remove(keep_text: bool, step: int):
     def run(batches):
         for b in batches:
             spans = b.column(b.schema.get_field_index("spans"))
             nulls = b.column(b.schema.get_field_index("nulls"))
             for i in range(b.num_rows):
-                ids, off, data = _load(b, i)
-                n = len(ids)
-                s = np.concatenate([np.zeros((0, 2), np.int32), *(np.frombuffer(x, "<i4").reshape(-1, 2) for x in spans[i].as_py() or [])])
-                edge = np.zeros(len(data) + 1, np.int64)
-                np.add.at(edge, s[:, 0], 1)
-                np.add.at(edge, s[:, 1], -1)
-                gone = np.cumsum(edge)[: len(data)] > 0
-                first = gone & np.concatenate(([True], ~gone[:-1])) if len(data) else gone
-                first[off[:-1][off[:-1] < len(data)]] |= gone[off[:-1][off[:-1] < len(data)]]
-                total, begins = (np.concatenate(([0], np.cumsum(x))) for x in (gone, first))
-                kept = data[~gone].tobytes()
-                left = off - total[off]
-                texts = [kept[p:q] for p, q in zip(left[:-1], left[1:], strict=True)]
-                out = [pa.array(ids, mask=np.frombuffer(nulls[i].as_py(), bool)), pa.array(np.diff(off)), pa.array(np.diff(total[off])), pa.array(np.diff(begins[off])), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
-                yield pa.RecordBatch.from_arrays([*out, *([pa.array(texts, pa.binary())] if keep_text else [])], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])])
+                ids, off, data, copies = _load(b, i)
+                null = np.frombuffer(nulls[i].as_py(), bool)
+                s = np.concatenate([copies, *(np.frombuffer(x, "<i4").reshape(-1, 2) for x in spans[i].as_py() or [])])
+                s = s[np.argsort(s[:, 0])]
+                for p, q in row_blocks(off, step):  # spans never cross texts
+                    own = s[np.searchsorted(s[:, 0], off[p]) : np.searchsorted(s[:, 0], off[q])] - np.int32(off[p])
+                    yield _kept(ids[p:q], null[p:q], off[p : q + 1] - off[p], data[off[p] : off[q]], own, keep_text)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, hot: int = HOT, block: int = BLOCK, group: int = GROUP, keep_text: bool = True) -> DataFrame:
+def _kept(ids: np.ndarray, null: np.ndarray, off: np.ndarray, data: np.ndarray, s: np.ndarray, keep_text: bool) -> pa.RecordBatch:
+    edge = np.zeros(len(data) + 1, np.int64)
+    np.add.at(edge, s[:, 0], 1)
+    np.add.at(edge, s[:, 1], -1)
+    gone = np.cumsum(edge)[: len(data)] > 0
+    first = gone & np.concatenate(([True], ~gone[:-1])) if len(data) else gone
+    first[off[:-1][off[:-1] < len(data)]] |= gone[off[:-1][off[:-1] < len(data)]]
+    total, begins = (np.concatenate(([0], np.cumsum(x))) for x in (gone, first))
+    kept = data[~gone].tobytes()
+    left = off - total[off]
+    texts = [kept[p:q] for p, q in zip(left[:-1], left[1:], strict=True)]
+    out = [pa.array(ids, mask=null), pa.array(np.diff(off)), pa.array(np.diff(total[off])), pa.array(np.diff(begins[off])), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
+    return pa.RecordBatch.from_arrays([*out, *([pa.array(texts, pa.binary())] if keep_text else [])], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])])
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, hot: int = HOT, block: int = BLOCK, group: int = GROUP, keep_text: bool = True, step: int = STEP) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``keep_text``, the kept bytes.
 
     Ids are integers; null is after all others. Null text is empty. Rows with one id are at one place: a string at the
@@ -489,16 +556,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = materialize(rows.mapInArrow(_blocks(block), "block long, ids binary, nulls binary, off binary, data binary, size long"), "repeat-blocks")
+    blocks = materialize(rows.mapInArrow(_blocks(block, length), _BLOCK), "repeat-blocks")
     n_blocks, n_bytes = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    buckets, salts = max(4 * partitions, n_bytes // BUCKET_BYTES), 1 + n_blocks // group
-    blocks = blocks.drop("size")
-    sent = blocks.mapInArrow(_send(buckets, length, k), "bucket int, block long, held binary")
+    buckets, salts = max(2 * partitions, n_bytes // BUCKET_BYTES), 1 + n_blocks // group
+    # of a digest each block has sent the least id alone, so a group has a row a block, or more if ids are repeated
+    firsts = blocks.select("block", F.explode("firsts").alias("f")).select("block", "f.*")
+    copies = firsts.withColumn("least", F.min("id").over(Window.partitionBy("digest"))).where("id > least").groupBy("block").agg(F.collect_list("span").alias("copies"))
+    # all joins of the blocks are left joins of these columns, so Spark shuffles the blocks once and uses that again
+    blocks = blocks.drop("size", "firsts")
+    known = blocks.join(copies, "block", "left")
+    fields = ("block", "ids", "nulls", "off", "data", "copied", "copies")
+    sent = known.select(*fields).mapInArrow(_send(buckets, length, k, step), "bucket int, block long, held binary")
     answers = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(hot), "block long, held binary")
-    # both joins of the blocks are left joins of all their columns, so Spark shuffles the blocks once and uses that twice
-    asked = blocks.join(answers.groupBy("block").agg(F.collect_list("held").alias("held")), "block", "left")
+    asked = known.join(answers.groupBy("block").agg(F.collect_list("held").alias("held")), "block", "left")
     kinds = "bucket int, salt int, block long, contexts binary, spans binary"
-    met = asked.select("block", "ids", "nulls", "off", "data", "held").mapInArrow(_contexts(buckets, salts, length, k), kinds)
+    met = asked.select(*fields, "held").mapInArrow(_contexts(buckets, salts, length, k, step), kinds)
 
     def match(x: DataFrame) -> DataFrame:
         return x.repartition(partitions, "bucket", "salt").sortWithinPartitions("bucket", "salt").mapInArrow(_match(length), kinds)
@@ -508,6 +580,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         level = materialize(spans, "repeat-level")
         spans = level.where("length(spans) > 0").unionByName(match(level.where("length(contexts) > 0")))
     spans = spans.select("block", "spans")
-    done = blocks.join(spans.groupBy("block").agg(F.collect_list("spans").alias("spans")), "block", "left")
-    out = done.select("block", "ids", "nulls", "off", "data", "spans").mapInArrow(_remove(keep_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    done = known.join(spans.groupBy("block").agg(F.collect_list("spans").alias("spans")), "block", "left")
+    out = done.select(*fields, "spans").mapInArrow(_remove(keep_text, step), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
     return out.withColumnRenamed("id", id_col)

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,21 @@ def test_repeats(spark, hot, block, group):
     assert all(hashlib.sha256(x["kept"]).hexdigest() == x["kept_sha256"] for x in got)
 
 
+def test_copies_of_whole_texts_send_no_contexts(spark):
+    """Of shifted copies of a table only the first sends its minimizers; a block in parts gives the same as one whole."""
+    r = random.Random(5)
+    t = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(50, 900))) for _ in range(30)]
+    rows = [(100 * k + i, x) for k in range(4) for i, x in enumerate(t)] + [(999, t[3][:60] + t[7][:200] + t[7]), (None, t[5]), (None, t[5][1:])]
+    batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows])], ["id", "text"])
+    data, off = repeats.utf8_view(batch.column(1))
+    copied, firsts = repeats._texts(data, off, np.array([repeats.LAST if x[0] is None else x[0] for x in rows]), 100)
+    long = sum(len(x) >= 100 for x in t)
+    assert len(firsts) == long + 1 + (len(t[5]) > 100) and len(copied) == 3 * long + (len(t[5]) >= 100)
+    for block, step in ((1 << 20, 1000), (3000, 700)):
+        got = repeats.remove_repeats(texts(spark, rows[:-1]), block=block, step=step, keep_text=False).collect()
+        assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got} == brute_repeats(rows[:-1], 100)
+
+
 def test_repeats_of_one_id(spark):
     """Rows with one id are at one place: no copies of themselves; an empty table gives none."""
     r = random.Random(1)
