@@ -520,9 +520,8 @@ def _remove(keep_text: bool, step: int):
                 ids, off, data, copies = _load(b, i)
                 null = np.frombuffer(nulls[i].as_py(), bool)
                 s = np.concatenate([copies, *(np.frombuffer(x, "<i4").reshape(-1, 2) for x in spans[i].as_py() or [])])
-                s = s[np.argsort(s[:, 0])]
-                for p, q in row_blocks(off, step):  # spans never cross texts
-                    own = s[np.searchsorted(s[:, 0], off[p]) : np.searchsorted(s[:, 0], off[q])] - np.int32(off[p])
+                for p, q in row_blocks(off, step):  # a span may go on in the next text
+                    own = s[(s[:, 1] > off[p]) & (s[:, 0] < off[q])].clip(off[p], off[q]) - off[p]
                     yield _kept(ids[p:q], null[p:q], off[p : q + 1] - off[p], data[off[p] : off[q]], own, keep_text)
 
     return run

@@ -164,6 +164,16 @@ def test_copies_of_whole_texts_send_no_contexts(spark):
         assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got} == brute_repeats(rows[:-1], 100)
 
 
+def test_spans_that_go_on_in_the_next_text(spark):
+    """Removed ranges of texts side by side touch; parts of a block are cut between these texts."""
+    r = random.Random(6)
+    a, b = ("".join(r.choice("abcdefgh ") for _ in range(300)) for _ in range(2))
+    rows = [(0, a + "-" + b), (1, a), (2, b), (3, ""), (4, b[:250] + "x" * 50)]
+    for step in (1 << 20, 300):
+        got = repeats.remove_repeats(texts(spark, rows).coalesce(1), step=step).collect()
+        assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got} == brute_repeats(rows, 100)
+
+
 def test_repeats_of_one_id(spark):
     """Rows with one id are at one place: no copies of themselves; an empty table gives none."""
     r = random.Random(1)
