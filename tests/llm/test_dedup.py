@@ -170,7 +170,7 @@ def test_spans_that_go_on_in_the_next_text(spark):
     a, b = ("".join(r.choice("abcdefgh ") for _ in range(300)) for _ in range(2))
     rows = [(0, a + "-" + b), (1, a), (2, b), (3, ""), (4, b[:250] + "x" * 50)]
     for step in (1 << 20, 300):
-        got = repeats.remove_repeats(texts(spark, rows).coalesce(1), step=step).collect()
+        got = repeats.remove_repeats(texts(spark, rows).coalesce(1), hot=2, step=step).collect()
         assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got} == brute_repeats(rows, 100)
 
 
