@@ -195,3 +195,67 @@ def test_events_by_miss_are_found_without_sending_tracks(spark):
 
 def test_catalog_is_swept_without_sending_tracks(spark):
     assert not tracks_sent(spark, "g6_sweep_catalog")
+
+
+def both_ways(monkeypatch, find):
+    """Rows of what ``find`` gives by the closed form of straight tracks, and by cubics."""
+    from orbitfold.operators import conjunctions as conj
+
+    used, lines = [], conj._Block._lines
+    monkeypatch.setattr(conj._Block, "_lines", staticmethod(lambda b, t, made: used.append(x := lines(b, t, made)) or x))
+    straight = sorted(map(tuple, find(conj)))
+    assert used and all(x is not None for x in used)
+    monkeypatch.setattr(conj._Block, "_lines", staticmethod(lambda b, t, made: None))
+    return straight, sorted(map(tuple, find(conj)))
+
+
+def in_one_process(monkeypatch, tracks):
+    """``find_conjunctions`` and the like without Spark: one block of all tracks."""
+    import pyarrow as pa
+
+    from orbitfold.operators import conjunctions as conj
+
+    ids, p, v = tracks
+    off = lambda x: pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * (p[0].size), pa.array(x.reshape(-1)))
+    zero = pa.array(np.zeros(len(ids), np.int32))
+    b = pa.RecordBatch.from_arrays([zero, zero, zero, zero, zero, pa.array(ids), off(p), off(v), pa.array(np.ones(len(ids), bool))], ["bin", "ci", "cj", "mine", "low", "id", "p", "v", "good"])
+
+    class Rows:
+        def mapInArrow(self, run, kinds):
+            return [tuple(r.values()) for out in run(iter([b])) for r in out.to_pylist()]
+
+    monkeypatch.setattr(conj, "_blocks", lambda *a: Rows())
+    monkeypatch.setattr(conj, "_ready", lambda tracks, times, made: (np.asarray(times), (np.asarray(times) - times[0]) / 1e6, None, conj._of_columns))
+
+
+def straight_lines():
+    """400 lines with repeated ids, equal velocities, standing objects and copies, over uneven times."""
+    rng = np.random.default_rng(3)
+    times = [k * 1_000_000 for k in (0, 60, 120, 150, 240, 400)]
+    x = 7000 + rng.integers(-60, 60, (400, 3)).astype(float)
+    u = rng.integers(-3, 4, (400, 3)) / 10.0
+    u[:40], u[40:60], x[60:70], u[60:70] = 0.0, u[60], x[70:80], u[70:80]
+    t = np.array(times)[:, None] / 1e6
+    return times, ([str(k % 390) for k in range(400)], x[:, None] + u[:, None] * t, np.repeat(u[:, None], 6, 1))
+
+
+def close(found, want):
+    assert len(found) == len(want) > 1000
+    for x, y in zip(found, want, strict=True):
+        assert x[:2] == y[:2] and np.allclose(x[2:], y[2:], rtol=0, atol=2e-5), (x, y)
+
+
+def test_straight_tracks_give_the_same_events_as_cubics(monkeypatch):
+    times, tracks = straight_lines()
+    in_one_process(monkeypatch, tracks)
+    # the time of the closest approach is open where there is no relative motion
+    columns = dict.fromkeys(["id_a", "id_b", "miss_km", "coarse_km", "speed_km_s"])
+    close(*both_ways(monkeypatch, lambda conj: conj.find_conjunctions(None, times, 15.0, orbits=False, columns=columns)))
+
+
+def test_events_of_straight_tracks_have_all_columns(monkeypatch):
+    times, tracks = straight_lines()
+    in_one_process(monkeypatch, tracks)
+    straight, cubics = both_ways(monkeypatch, lambda conj: conj.find_conjunctions(None, times, 15.0, orbits=False))
+    moving = lambda rows: [x for x in rows if x[6] > 1e-9 and x[5] > 1e-3]
+    close([x[:2] + x[3:] for x in moving(straight)], [x[:2] + x[3:] for x in moving(cubics)])  # steps may tie
