@@ -253,6 +253,14 @@ def test_straight_tracks_give_the_same_events_as_cubics(monkeypatch):
     close(*both_ways(monkeypatch, lambda conj: conj.find_conjunctions(None, times, 15.0, orbits=False, columns=columns)))
 
 
+def test_straight_tracks_give_the_same_windows_as_cubics(monkeypatch):
+    times, tracks = straight_lines()
+    in_one_process(monkeypatch, tracks)
+    columns = dict.fromkeys(["id_a", "id_b", "miss_km", "entry_us", "exit_us"])
+    found = lambda conj: [(a, b, m, x / 1e6, y / 1e6) for a, b, m, x, y in conj.find_windows(None, times, 15.0, columns=columns)]
+    close(*both_ways(monkeypatch, found))
+
+
 def test_events_of_straight_tracks_have_all_columns(monkeypatch):
     times, tracks = straight_lines()
     in_one_process(monkeypatch, tracks)
