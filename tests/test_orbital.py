@@ -276,3 +276,15 @@ def test_closest_events_are_the_first_of_all(spark, monkeypatch):
     best = conj.find_closest(oq.line_rows(spark, SF), oq.LINE_TIMES, 30, 175.0, orbits=False, made=oq.made_lines(), digits=-1).collect()
     every = conj.find_conjunctions(oq.line_rows(spark, SF), oq.LINE_TIMES, 175.0, orbits=False, made=oq.made_lines(), columns={"id_a": None, "id_b": None, "miss_km": -1})
     assert best == every.orderBy("miss_km", "id_a", "id_b").limit(30).select("id_a", "id_b", "miss_km").collect() and len({x["miss_km"] for x in best}) < 30
+
+
+@pytest.mark.parametrize(("name", "sf"), [("c1_scored_events", SF), ("g6_sweep_catalog", SF.replace("sf0.001", "sf0.01"))])
+def test_events_of_many_objects_are_not_shuffled(spark, monkeypatch, name, sf):
+    from orbitfold.operators import conjunctions as conj
+
+    want = sorted(map(tuple, QUERIES[name](spark, sf).collect()))
+    monkeypatch.setattr(conj, "FEW", 10)
+    many = QUERIES[name](spark, sf)
+    after = plan(many).split("MapInArrow")[0]
+    assert "Exchange" not in after and "Join" not in after
+    assert sorted(map(tuple, many.collect())) == want and want
