@@ -288,3 +288,26 @@ def test_events_of_many_objects_are_not_shuffled(spark, monkeypatch, name, sf):
     after = plan(many).split("MapInArrow")[0]
     assert "Exchange" not in after and "Join" not in after
     assert sorted(map(tuple, many.collect())) == want and want
+
+
+def test_windows_are_rounded_where_they_are_made(spark):
+    assert "round(" not in plan(QUERIES["w1_conjunction_windows"](spark, SF))
+
+
+@pytest.mark.parametrize("seconds", [(0, 60, 120, 180, 240, 300), (0, 60, 120, 150, 240, 300)])
+def test_windows_of_straight_tracks_have_the_runs_of_their_samples(monkeypatch, seconds):
+    from orbitfold.operators import conjunctions as conj
+
+    rng, times = np.random.default_rng(5), [k * 1_000_000 for k in seconds]
+    x, u = 7000 + rng.integers(-6, 7, (300, 3)) * 5.0, rng.integers(-1, 2, (300, 3)) / 4  # many samples are 15 km apart
+    ids, p = [str(k) for k in range(300)], x[:, None] + u[:, None] * np.array(seconds, float)[:, None]
+    in_one_process(monkeypatch, (ids, p, np.repeat(u[:, None], 6, 1)))
+    columns = {"id_a": None, "id_b": None, "entry_s": 2, "tca_s": None, "exit_s": 2}
+    found = {r[:2]: r[2:] for r in conj.find_windows(None, times, 15.0, columns=columns)}
+    d = ((p[:, None] - p) ** 2).sum(3)
+    assert (d == 225).sum() > 1000
+    near = {tuple(sorted((ids[i], ids[j]))): np.array(seconds)[d[i, j] < 225] for i in range(300) for j in range(i) if (d[i, j] < 225).any()}
+    assert found.keys() == near.keys()
+    for k, (entry, tca, leave) in found.items():
+        at, before, after = near[k], max([s for s in seconds if s < near[k][0]], default=0), min([s for s in seconds if s > near[k][-1]], default=300)
+        assert before <= entry <= at[0] and at[-1] <= leave <= after and entry - 0.01 <= tca <= leave + 0.01
